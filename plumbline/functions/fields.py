@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -113,7 +112,12 @@ def clean(datasets: Datasets) -> dict[str, DataFrame]:
 
 
 def union_all(parts: Iterable[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """Union of tables with equal columns, joined in pairs to keep plans shallow."""
+    parts = list(parts)
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].union(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]
 
 
 def small_table(df: DataFrame) -> DataFrame:
