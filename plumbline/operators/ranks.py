@@ -99,17 +99,26 @@ def quantiles(
     if not wanted:
         return {f.id: [None] * len(probabilities) for f in fields}
 
-    spark = next(iter(datasets.values())).sparkSession
     numbers = long_numbers(datasets, [f for f in fields if spans[f.id][0]])
+    found = select_ranks(numbers, wanted, rows_per_task)
+    return {f.id: [found.get((f.id, p)) for p in probabilities] for f in fields}
+
+
+def select_ranks(numbers: DataFrame, wanted: dict, rows_per_task: int = ROWS_PER_TASK) -> dict:
+    """Values at 0-based ranks of (id, value) rows; fractions are interpolated.
+
+    ``wanted`` maps (id, name of the rank) to (rank, rows below the span, lowest
+    and highest value of the span, rows in the span).
+    """
+    spark = numbers.sparkSession
+    wanted = dict(wanted)
     for _ in range(ROUNDS):
         wide = {k: w for k, w in wanted.items() if w[4] > rows_per_task and w[2] < w[3]}
         if not wide:
             break
         wanted.update(_narrow(spark, numbers, wide))
-
     sliced = any(w[4] > rows_per_task for w in wanted.values())
-    found = _select(spark, numbers, wanted, sliced)
-    return {f.id: [found.get((f.id, p)) for p in probabilities] for f in fields}
+    return _select(spark, numbers, wanted, sliced)
 
 
 def _span_tables(spark, wanted):

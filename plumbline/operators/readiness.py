@@ -65,12 +65,14 @@ def match_requirements(
     an equi-join on the use case.
     """
     names = columns.groupBy("dataset").agg(F.collect_set(F.lower("column")).alias("names"))
+    known = uses.join(F.broadcast(names), "dataset", "left").withColumn(
+        "names", F.coalesce("names", F.array().cast("array<string>"))
+    )
     hits = F.filter(
         "names", lambda name: F.exists("patterns", lambda pattern: F.contains(name, pattern))
     )
     return (
-        uses.join(names, "dataset")
-        .join(F.broadcast(requirements), "use_case")
+        known.join(F.broadcast(requirements), "use_case")
         .select(
             "dataset", "use_case", "tier", "tier_no", "req_no", "description", "weight",
             F.array_min(hits).alias("matched_column"),
@@ -145,10 +147,12 @@ def quality_penalty(columns: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def scores(uses: DataFrame, raw: DataFrame, penalty: DataFrame) -> DataFrame:
+    """Readiness after the penalty; a dataset without a profile has no penalty."""
     adjusted = F.round(F.col("raw_score") - F.col("quality_penalty"), 1)
     return (
         uses.join(raw, ["dataset", "use_case"])
-        .join(F.broadcast(penalty.select("dataset", "quality_penalty")), "dataset")
+        .join(F.broadcast(penalty.select("dataset", "quality_penalty")), "dataset", "left")
+        .withColumn("quality_penalty", F.coalesce("quality_penalty", F.lit(0.0)))
         .withColumn("score", F.greatest(adjusted, F.lit(0.0)))
         .withColumn("band", band(F.col("score")))
         .withColumn("bar", bar(F.col("score")))
@@ -219,7 +223,8 @@ def recommendations(
 
 def risks(totals: DataFrame, matches: DataFrame, score_table: DataFrame) -> DataFrame:
     """Ordered risks: missing critical fields, null rate, number of rows."""
-    uses = score_table.select("dataset", "use_case").join(F.broadcast(totals), "dataset")
+    uses = score_table.select("dataset", "use_case").join(F.broadcast(totals), "dataset", "left")
+    uses = uses.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     gaps = (
         matches.where("tier = 'critical' AND matched_column IS NULL")
         .groupBy("dataset", "use_case")
