@@ -255,9 +255,10 @@ def mutual_information_knn(
 
 
 def _long_features(table, target, features, jitter):
-    """(feature number, row, class, scaled and jittered value), frozen.
+    """(feature number, row, class, jittered value), frozen.
 
-    The row number only tells rows apart; it is fixed by the checkpoint.
+    Scores do not depend on the scale of a feature, only the jitter does. The
+    row number only tells rows apart; it is fixed by the checkpoint.
     """
     numbers = {"": table.select(*[column(c) for c in features])}
     fields = fields_of(numbers)
@@ -269,14 +270,11 @@ def _long_features(table, target, features, jitter):
     everything = ", ".join(quoted(c) for c in table.columns)
     for f in fields:
         row = spread[f.id]
-        # population deviation, 1 for a constant
-        std = (row["std"] or 0.0) * ((row.n_total - 1) / row.n_total) ** 0.5 if row.n_total else 0.0
-        std = std or 1.0
-        size = jitter * max(1.0, abs(row["mean"] or 0.0) / std)
+        size = jitter * max(row["std"] or 1.0, abs(row["mean"] or 0.0))
         u1 = f"((xxhash64({f.id}, {everything}) & 9007199254740991) + 1) / 9007199254740993D"
         u2 = f"(xxhash64({f.id}, 'angle', {everything}) & 9007199254740991) / 9007199254740992D"
         normal = f"sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2})"
-        shown.append(f"{f.sql} / {std!r}D + {size!r}D * {normal} AS `{f.id}`")
+        shown.append(f"{f.sql} + {size!r}D * {normal} AS `{f.id}`")
     wide = table.selectExpr(*shown)
     long = wide.unpivot(["y", "row"], [str(f.id) for f in fields], "feature", "x")
     return freeze(long.withColumn("feature", F.col("feature").cast("int")).withColumn("one", F.lit(1)))

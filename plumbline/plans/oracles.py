@@ -399,7 +399,7 @@ def knn_cte(c):
     )
     return f"""knn0_{c} AS (
   SELECT id, target, x, count(*) OVER (PARTITION BY target)::DOUBLE AS n_class, count(*) OVER ()::DOUBLE AS n_all, [{steps}] AS steps
-  FROM (SELECT row_number() OVER () AS id, target, {c} / (SELECT stddev_pop({c}) FROM {source('returns')}) AS x FROM {source('returns')})
+  FROM (SELECT row_number() OVER () AS id, target, {c} AS x FROM {source('returns')})
   WINDOW w AS (PARTITION BY target ORDER BY x, id)),
 knn_{c} AS (
   SELECT id, x, n_class, n_all, s.far AS far, s.near AS near
