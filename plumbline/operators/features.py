@@ -384,12 +384,11 @@ def forest_importance(
 
 def _classes(table: DataFrame, target: str) -> list[float] | None:
     """The class values in order, or None when the target is not a class."""
-    y = column(target).cast("double")
-    broken = table.where(y != F.floor(y)).limit(1).count()
-    if broken:
+    y = column(target).cast("double").alias("y")
+    found = [r.y for r in table.select(y).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES or any(v is None or v != int(v) for v in found):
         return None
-    found = table.select(y.alias("y")).distinct().limit(MAX_CLASSES + 1).collect()
-    return sorted(r.y for r in found) if len(found) <= MAX_CLASSES else None
+    return sorted(found)
 
 
 # --------------------------------------------------------------- transform advice

@@ -436,7 +436,8 @@ def transform_advice_categorical(spark, folder):
 MODEL_DATA = ["orders", "events_holes", "labels", "returns"]
 
 
-def _models(spark, folder, task="classification"):
+def _model_inputs(spark, folder):
+    """Profile, readiness and correlated pairs, as models are chosen by them."""
     columns, totals = _library(spark, folder, MODEL_DATA, values=True)
     uses = _uses(spark, MODEL_DATA)
     matches = readiness.match_requirements(columns, uses, catalog.requirements(spark))
@@ -444,7 +445,11 @@ def _models(spark, folder, task="classification"):
     scored = readiness.scores(uses, raw, readiness.quality_penalty(columns, totals))
     pairs = features.high_correlation_pairs(_encoded(spark, folder, "returns"), "target")
     counts = pairs.agg(F.lit("returns").alias("dataset"), F.count(F.lit(1)).alias("n_high_corr_pairs"))
-    return models.recommend(columns, totals, small_table(scored), small_table(counts), catalog.models(spark), task)
+    return columns, totals, small_table(scored), small_table(counts), catalog.models(spark)
+
+
+def _models(spark, folder):
+    return models.recommend(*_model_inputs(spark, folder))
 
 
 def model_characteristics(spark, folder):
@@ -452,8 +457,9 @@ def model_characteristics(spark, folder):
 
 
 def model_scores(spark, folder):
+    inputs = _model_inputs(spark, folder)
     both = [
-        _models(spark, folder, task)["model_ranking"].select(
+        models.recommend(*inputs, task)["model_ranking"].select(
             "dataset", "use_case", F.lit(task).alias("task"), "model_key", "score", "rank"
         )
         for task in ("classification", "regression")
