@@ -53,8 +53,8 @@ LARGE_MAX, LARGE_SPREAD = 1000, 2
 # Products per aggregation, and pairs beyond which the matrix form is used.
 PRODUCTS_PER_PASS = 60
 MATRIX_PAIRS = 600
-# Classes a forest or a binned score is computed for.
-MAX_CLASSES = 1000
+# A forest keeps counts per class in every node, so it is not grown for more.
+MAX_CLASSES = 10_000
 
 
 # ------------------------------------------------------------------ correlation
@@ -161,10 +161,11 @@ def mutual_information_binned(
 
     Features, and the target in regression, are cut at their exact quantiles.
     Joint counts have bins x classes cells per feature and are added up before
-    the shuffle. A classification target without classes gives no scores.
+    the shuffle; bin totals are few, class totals are joined by class, so any
+    number of classes will do. A target that is no class gives no scores.
     """
     features = [c for c in table.columns if c != target]
-    if not features or (task == "classification" and _classes(table, target) is None):
+    if not features or (task == "classification" and not _is_class(table, target)):
         return _no_scores(table, "mi_score", max_features)
     cut = features + ([target] if task == "regression" else [])
     numbers = {"": table}
@@ -173,7 +174,10 @@ def mutual_information_binned(
         per_column(numbers, fields, lambda f: {**count_measures(f), **number_measures(f)})
     )
     inner = [i / bins for i in range(1, bins)]
-    edges = quantiles(numbers, fields, spans_of(sums), inner, rows_per_task)
+    spans = spans_of(sums)
+    if not next(iter(spans.values()))[0]:
+        return _no_scores(table, "mi_score", max_features)
+    edges = quantiles(numbers, fields, spans, inner, rows_per_task)
 
     def bin_of(f: Field) -> str:
         cuts = sorted({e for e in edges[f.id] if e is not None})
@@ -188,21 +192,19 @@ def mutual_information_binned(
         .groupBy(F.col("id").cast("int").alias("id"), "bin", "y")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    total = F.sum("n").over(Window.partitionBy("id"))
-    in_bin = F.sum("n").over(Window.partitionBy("id", "bin"))
-    in_class = F.sum("n").over(Window.partitionBy("id", "y"))
+    total = float(next(iter(spans.values()))[0])
+    bin_totals = joint.groupBy("id", "bin").agg(F.sum("n").cast("double").alias("in_bin"))
+    class_totals = wide.groupBy("y").agg(F.count(F.lit(1)).cast("double").alias("in_class"))
     names = local_table(table.sparkSession, [(by_name[c], c) for c in features], "id int, feature string")
+    n = F.col("n").cast("double")
     scored = (
-        joint.select("id", "n", total.alias("total"), in_bin.alias("in_bin"), in_class.alias("in_class"))
+        joint.join(F.broadcast(bin_totals), ["id", "bin"])
+        .join(class_totals, "y")
         .groupBy("id")
-        .agg(
-            F.sum(F.col("n") / F.col("total")
-                  * F.ln(F.col("n") * F.col("total").cast("double") / (F.col("in_bin") * F.col("in_class").cast("double"))))
-            .alias("mi")
-        )
+        .agg(F.sum(n / total * F.ln(n * total / (F.col("in_bin") * F.col("in_class")))).alias("mi"))
         .join(F.broadcast(names), "id")
         .select("feature", F.greatest("mi", F.lit(0.0)).alias("mi_score"))
-    )
+    )
     return top_features(scored, "mi_score", max_features)
 
 
@@ -225,7 +227,7 @@ def mutual_information_knn(
     A hash-based jitter far below the scale of a feature breaks ties.
     """
     features = [c for c in table.columns if c != target]
-    if not features or _classes(table, target) is None:
+    if not features or not _is_class(table, target):
         return _no_scores(table, "mi_score", max_features)
     rows = _long_features(table, target, features, jitter)
     sizes = rows.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("size"))
@@ -382,13 +384,19 @@ def forest_importance(
     return top_features(scored, "importance", max_features)
 
 
+def _is_class(table: DataFrame, target: str) -> bool:
+    """Whether all target values are whole numbers, as classes are."""
+    y = column(target).cast("double")
+    return bool(table.agg(F.bool_and(y == F.floor(y)).alias("whole")).first().whole)
+
+
 def _classes(table: DataFrame, target: str) -> list[float] | None:
-    """The class values in order, or None when the target is not a class."""
-    y = column(target).cast("double").alias("y")
-    found = [r.y for r in table.select(y).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES or any(v is None or v != int(v) for v in found):
+    """The class values in order, or None when the target is no class."""
+    if not _is_class(table, target):
         return None
-    return sorted(found)
+    y = column(target).cast("double").alias("y")
+    found = table.select(y).distinct().limit(MAX_CLASSES + 1).collect()
+    return sorted(r.y for r in found) if len(found) <= MAX_CLASSES else None
 
 
 # --------------------------------------------------------------- transform advice

@@ -632,7 +632,7 @@ def scan_roundtrip_parquet(spark, folder):
 def scan_roundtrip_xlsx(spark, folder):
     """Customers packed into workbooks in tasks, and read back from their bytes."""
     given = table(spark, folder, "customer")
-    books = excel.pack_workbooks(given, rows_per_book=2_000)
+    books = excel.pack_workbooks(given)
     return excel.read_excel(books).select(
         F.col("c_custkey").cast("bigint"), "c_name", F.col("c_nationkey").cast("int"),
         F.col("c_acctbal").cast("double"), "c_mktsegment",

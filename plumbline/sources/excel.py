@@ -15,6 +15,7 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.session import freeze
@@ -147,20 +148,20 @@ def _sheet_part(book, sheet):
 # ------------------------------------------------------------------------ packing
 
 
-def pack_workbooks(df: DataFrame, rows_per_book: int = 100_000) -> DataFrame:
-    """(path, content): the rows of a table as workbooks of a bounded size each.
+def pack_workbooks(df: DataFrame) -> DataFrame:
+    """(path, content): the rows of a table as workbooks.
 
-    Rows are spread by hash over as many workbooks as needed; a workbook is put
-    together in one task.
+    Each task makes a workbook of every batch of rows it is handed, so nothing
+    is shuffled and a workbook never holds more rows than an Arrow batch.
     """
-    books = max(1, -(-df.count() // rows_per_book))
     names = df.columns
-    book = F.pmod(F.xxhash64(*df.columns), F.lit(books)).alias("book")
 
-    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"path": [f"book-{key[0]}.xlsx"], "content": [workbook(names, frame[names])]})
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task = TaskContext.get().partitionId()
+        for i, batch in enumerate(batches):
+            yield pd.DataFrame({"path": [f"book-{task}-{i}.xlsx"], "content": [workbook(names, batch)]})
 
-    return df.select("*", book).groupBy("book").applyInPandas(pack, "path string, content binary")
+    return df.mapInPandas(pack, "path string, content binary")
 
 
 def workbook(names: list[str], frame: pd.DataFrame) -> bytes:
