@@ -180,8 +180,9 @@ def frequencies(
     return {
         lane: union_all(parts)
         .where("value IS NOT NULL")
-        .groupBy(F.col("id").cast("int").alias("id"), "value")
+        .groupBy("id", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("id", F.col("id").cast("int"))
         for lane, parts in lanes.items()
     }
 

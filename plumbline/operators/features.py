@@ -189,8 +189,9 @@ def mutual_information_binned(
     wide = table.selectExpr(f"{y} AS y", *[f"{binned[c]} AS `{by_name[c]}`" for c in features])
     joint = (
         wide.unpivot(["y"], [str(by_name[c]) for c in features], "id", "bin")
-        .groupBy(F.col("id").cast("int").alias("id"), "bin", "y")
+        .groupBy("id", "bin", "y")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("id", F.col("id").cast("int"))
     )
     total = float(next(iter(spans.values()))[0])
     bin_totals = joint.groupBy("id", "bin").agg(F.sum("n").cast("double").alias("in_bin"))

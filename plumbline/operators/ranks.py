@@ -11,6 +11,8 @@ from plumbline.session import freeze
 
 # Sorted groups up to this many rows go to a single window task.
 ROWS_PER_TASK = 1_000_000
+# Spans of more rows than this are narrowed before values are compared.
+SPAN_ROWS = 100_000
 # Histogram cells per narrowing round, and how many rounds are tried.
 CELLS = 4096
 ROUNDS = 4
@@ -85,9 +87,9 @@ def quantiles(
     """Exact quantiles of numeric fields, interpolated between order statistics.
 
     ``spans`` gives (number of non-null values, least, greatest) per field id.
-    Columns longer than ``rows_per_task`` are narrowed first: histogram counts
-    find the cell that holds each wanted rank, and only rows of that cell are
-    looked at again. Each round is a scan with map-side counting; what returns
+    Long columns are narrowed first: histogram counts find the cell that holds
+    each wanted rank, and only rows of that cell are looked at again. Cells that
+    stay longer than ``rows_per_task`` are ranked in slices. Each round is a scan with map-side counting; what returns
     to the driver is one row per field and quantile.
     """
     wanted = {}  # (field id, probability) -> (rank, rows below the span, lo, hi, rows inside)
@@ -113,7 +115,8 @@ def select_ranks(numbers: DataFrame, wanted: dict, rows_per_task: int = ROWS_PER
     spark = numbers.sparkSession
     wanted = dict(wanted)
     for _ in range(ROUNDS):
-        wide = {k: w for k, w in wanted.items() if w[4] > rows_per_task and w[2] < w[3]}
+        limit = min(rows_per_task, SPAN_ROWS)
+        wide = {k: w for k, w in wanted.items() if w[4] > limit and w[2] < w[3]}
         if not wide:
             break
         wanted.update(_narrow(spark, numbers, wide))

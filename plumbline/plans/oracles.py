@@ -778,8 +778,8 @@ ORACLES = {
         "round(mn, 4) AS min, round(mx, 4) AS max, round(mean, 4) AS mean, round(median, 4) AS median, "
         "round(std, 4) AS std, round(skewness, 4) AS skewness, round(kurtosis, 4) AS kurtosis"),
     "profile_quartiles": stats(FENCED,
-        "round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr, "
-        "round(q1 - 1.5 * (q3 - q1), 4) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 4) AS upper_fence"),
+        "round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, "
+        "round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence"),
     "outliers_iqr": stats(FENCED, "n_out AS n_outliers, round(100.0 * n_out / (n_total - n_null), 2) AS pct_outliers"),
     "top_values": f'SELECT dataset, "column", rank, value, n FROM ({top_lists(LISTED)})',
     "column_mode": f'SELECT dataset, "column", value AS mode FROM ({top_lists(LISTED)}) WHERE rank = 1',

@@ -147,7 +147,7 @@ def profile_quartiles(spark, folder):
     out = cols.with_fences(sums.join(F.broadcast(cuts), "id")).select(
         "dataset", "column", "q1", "median", "q3", "iqr", "lower_fence", "upper_fence"
     )
-    return rounded(out, q1=4, median=4, q3=4, iqr=4, lower_fence=4, upper_fence=4)
+    return rounded(out, q1=6, median=6, q3=6, iqr=6, lower_fence=6, upper_fence=6)
 
 
 def outliers_iqr(spark, folder):
