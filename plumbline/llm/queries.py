@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm.license_scan import op8_license_scan
 from plumbline.llm.line_runs import OP2_SQL, op2_line_dedup
 from plumbline.llm.recompression import dedup_passages
+from plumbline.llm.simhash import op6_simhash
 from plumbline.llm.suffix_dedup import dedup_substrings
 from plumbline.llm.url_reputation import OP7_SQL, op7_url_filter
 
@@ -37,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op5_passage_dedup": op5_passage_dedup,
+    "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_license_scan": op8_license_scan,
 }
