@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.license_scan import op8_license_scan
 from plumbline.llm.line_runs import OP2_SQL, op2_line_dedup
+from plumbline.llm.mixing import op9_source_mix
+from plumbline.llm.quality import op3_quality
 from plumbline.llm.recompression import dedup_passages
 from plumbline.llm.simhash import op6_simhash
 from plumbline.llm.suffix_dedup import dedup_substrings
@@ -37,10 +39,12 @@ def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality": op3_quality,
     "op5_passage_dedup": op5_passage_dedup,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
     "op8_license_scan": op8_license_scan,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
