@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.llm.license_scan import op8_license_scan
 from plumbline.llm.line_runs import OP2_SQL, op2_line_dedup
 from plumbline.llm.mixing import op9_source_mix
+from plumbline.llm.neighbours import op10_nearest
 from plumbline.llm.quality import op3_quality
 from plumbline.llm.recompression import dedup_passages
 from plumbline.llm.simhash import op6_simhash
@@ -45,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_url_filter": op7_url_filter,
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
