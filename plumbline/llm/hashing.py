@@ -77,9 +77,9 @@ def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word: bytes other than space, tab to carriage return. Words end with their row."""
-    solid = ~_SPACE[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word: bytes that are not ``blank`` (space, tab to carriage return). Words end with their row."""
+    solid = ~blank[data]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -94,7 +94,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def words_of_rows(
-    offsets: np.ndarray, data: np.ndarray, limit: int = 1 << 20
+    offsets: np.ndarray, data: np.ndarray, limit: int = 1 << 20, blank: np.ndarray = _SPACE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows: (hashes, starts, ends, words before each row).
 
@@ -112,11 +112,11 @@ def words_of_rows(
                 to = cut
             else:
                 row_end = int(offsets[np.searchsorted(offsets, at, "right")])
-                while to < row_end and not _SPACE[data[to]]:
+                while to < row_end and not blank[data[to]]:
                     to += 1
         piece = data[at:to]
         low, high = np.searchsorted(offsets, [at, to])
-        s, e = word_spans(piece, offsets[low : high + 1] - at)
+        s, e = word_spans(piece, offsets[low : high + 1] - at, blank)
         hashes.append(word_hashes(piece, s, e))
         starts.append(s + at)
         ends.append(e + at)

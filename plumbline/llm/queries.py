@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.decontaminate import op4_decontaminate
 from plumbline.llm.license_scan import op8_license_scan
 from plumbline.llm.line_runs import OP2_SQL, op2_line_dedup
 from plumbline.llm.mixing import op9_source_mix
@@ -41,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op5_passage_dedup": op5_passage_dedup,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
