@@ -1,13 +1,15 @@
 """Remove word runs that occur elsewhere, by recompression.
 
-Each round first gives every run of one symbol a name, then every pair of a left
-and a right symbol. A name is a 64-bit hash of what it stands for, so all tasks
+The first round gives every run of one symbol a name, and all rounds every pair of a
+left and a right symbol. (Later runs stay as they are: naming them too would leave
+two more symbols of each round open at the borders, of 35 words.) A name is a 64-bit hash of what it stands for, so all tasks
 agree on it without a dictionary, and equal stretches of words get equal symbols
 inside, whatever stands around them. At the borders of a stretch each round leaves
 a few symbols open: those whose run or pair might reach across. What is certain
-from a window's words alone is tracked exactly, and of the certain symbols of the
-last round the least one is the window's anchor. Windows without any (inside long
-runs of one word) are named themselves.
+from a window's words alone is tracked exactly. Of the certain symbols of the last
+round, taken three in a row so that few are shared by chance, the least triple is
+the window's anchor. Windows without any (as inside long runs of one word) are
+named themselves.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from plumbline.llm.tables import segments
 
 WINDOW = 35
 ROUNDS = 3
+# Rounds in which runs are named.
+RUN_ROUNDS = 1
+# Symbols of the last round that make an anchor together.
+JOINED = 3
 # Words a task names at a time.
 PIECE = 1 << 18
 
@@ -45,7 +51,8 @@ def compress(symbols: np.ndarray, walls: np.ndarray, level: int):
     ``walls`` are symbols that end documents; they stay as they are.
     """
     opens = np.ones(len(symbols), bool)
-    opens[1:] = symbols[1:] != symbols[:-1]
+    if level < RUN_ROUNDS:
+        opens[1:] = symbols[1:] != symbols[:-1]
     run = np.cumsum(opens) - 1
     begins = np.flatnonzero(opens)
     length = np.diff(np.append(begins, len(symbols)))
@@ -118,20 +125,25 @@ class RecompressionMethod(Method):
             starts = starts[begins]
             # the first and the last run may reach across the window's borders
             none = low >= high
-            low = run[np.minimum(low, len(run) - 1)] + 1
-            high = run[np.maximum(high - 1, 0)]
+            if level < RUN_ROUNDS:
+                low = run[np.minimum(low, len(run) - 1)] + 1
+                high = run[np.maximum(high - 1, 0)]
             none |= low >= high
             # the first may be the right half of a pair, the last the left half
             at, end = np.minimum(low, len(pair) - 1), np.maximum(high - 1, 0)
             low = pair[at] + ~left[at]
             high = pair[end] + ~left[end]
             low[none], high[none] = 0, 0
+        names = symbols
+        for _ in range(JOINED - 1):
+            names = mix(names[:-1] * U(0x9E3779B97F4A7C15) + symbols[len(symbols) - len(names) + 1 :])
+        high = high - (JOINED - 1)
         anchor, name = np.full(size, -1, np.int64), np.zeros(size, U)
         some = np.flatnonzero(low < high)
         if not len(some):
             return anchor, name
         bits = U((1 << 24) - 1)
-        least = [(mix(symbols + U(11)) & ~bits) | np.arange(len(symbols), dtype=U)]
+        least = [(mix(names + U(11)) & ~bits) | np.arange(len(names), dtype=U)]
         low, high = low[some], high[some]
         step = np.floor(np.log2(high - low)).astype(np.int64)
         for power in range(int(step.max())):
@@ -142,7 +154,7 @@ class RecompressionMethod(Method):
             mine = np.flatnonzero(step == power)
             best[mine] = np.minimum(table[low[mine]], table[high[mine] - (1 << power)])
         chosen = (best & bits).astype(np.int64)
-        anchor[some], name[some] = starts[chosen], symbols[chosen]
+        anchor[some], name[some] = starts[chosen], names[chosen]
         return anchor, name
 
     def cut(self, text, starts, ends):
