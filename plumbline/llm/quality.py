@@ -21,7 +21,7 @@ from plumbline.llm.tables import text_bytes, whole_text
 
 BITS = 18
 # Labelled rows per class the model is fitted on: those with the least id hash.
-SAMPLE_PER_CLASS = 2_000
+SAMPLE_PER_CLASS = 1_000
 ROUNDS = 20
 COST = 1.0
 # How far weights are drawn from their mean towards the fitted model.
@@ -94,7 +94,7 @@ def dual_coordinate_descent(
     for features in rows:
         v = ratio[features]
         size = np.sqrt(np.dot(v, v))
-        values.append(v / size if size else v)
+        values.append((v / size if size else v).astype(np.float32))
     sign = np.where(good, 1.0, -1.0)
     norm = np.array([np.dot(v, v) + 1.0 for v in values])
     # both classes weigh the same
