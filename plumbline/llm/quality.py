@@ -8,6 +8,7 @@ used for that; every text is scored whole, where it lies.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -169,8 +170,7 @@ def train(
 ) -> Model:
     """Fit on the labelled rows that are not held out, SAMPLE_PER_CLASS of each class at most.
 
-    A label counts if it is 0 or 1 and all rows of its id agree. The sample (its
-    hashed indicators, not its texts) is all that comes to the driver.
+    A label counts if it is 0 or 1 and all rows of its id agree.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(~held_out("id"))
     marks = marks.where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z"))
@@ -182,11 +182,21 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     # at most 2 * SAMPLE_PER_CLASS ids
     rows = texts.join(F.broadcast(sample), "id").mapInArrow(_indicator_rows, "y int, draw long, features binary")
-    got = rows.toPandas().sort_values(["draw", "y"], kind="stable")
-    features = [np.frombuffer(b, np.uint32) for b in got["features"]]
-    # rows that share an id may come in any order
-    order = sorted(range(len(got)), key=lambda i: (got["draw"].iloc[i], features[i].tobytes()))
-    return fit([features[i] for i in order], got["y"].to_numpy()[order] == 1 if order else np.zeros(0, bool), prior)
+    made = rows.repartition(1).mapInArrow(_fit_task(prior), "model binary").first()
+    return pickle.loads(made["model"]) if made else fit([], np.zeros(0, bool), prior)
+
+
+def _fit_task(prior: float):
+    """Fit on the bounded sample in one task; only the model goes to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("draw", "features", "y")))]
+        rows.sort()
+        features = [np.frombuffer(f, np.uint32) for _, f, _ in rows]
+        model = fit(features, np.array([y == 1 for *_, y in rows], bool), prior)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return work
 
 
 def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
