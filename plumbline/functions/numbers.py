@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -16,9 +18,9 @@ def percent(part: Column, whole: Column) -> Column:
     return F.lit(100.0) * share(part, whole)
 
 
-def pearson(x: Column, y: Column) -> Column:
-    """Correlation that is NULL, not an error, when either side is constant."""
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def double_literal(value: float) -> str:
+    """A double as SQL text; infinities and NaN have no numeric form there."""
+    return f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"
 
 
 EULER_GAMMA = 0.5772156649015329

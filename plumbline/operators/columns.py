@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -17,7 +18,7 @@ from plumbline.functions.fields import (
     text_literal,
     union_all,
 )
-from plumbline.functions.numbers import percent, share
+from plumbline.functions.numbers import double_literal, percent, share
 from plumbline.operators.ranks import ROWS_PER_TASK, quantiles
 
 # Limits of the type rules, the outlier rule and the value lists.
@@ -359,7 +360,9 @@ def deviations(datasets: Datasets, fields: Sequence[Field], table: DataFrame) ->
         row = known[f.id]
         n = row.n_total - row.n_null
         x = f"CAST({f.sql} AS DOUBLE)"
-        off = f"({x} - {row['sum'] / n!r}D)" if n else "CAST(NULL AS DOUBLE)"
+        mean = row["sum"] / n if n else math.nan
+        # a mean that is not finite leaves this column, and no other, without moments
+        off = f"({x} - {mean!r}D)" if math.isfinite(mean) else "CAST(NULL AS DOUBLE)"
         out = {
             "m2": f"sum({off} * {off})",
             "m3": f"sum({off} * {off} * {off})",
@@ -367,8 +370,9 @@ def deviations(datasets: Datasets, fields: Sequence[Field], table: DataFrame) ->
         }
         if with_outliers:
             beyond = "false"
-            if row.upper_fence is not None:
-                beyond = f"{x} < {row.lower_fence!r}D OR {x} > {row.upper_fence!r}D"
+            fences = [v for v in (row.lower_fence, row.upper_fence) if v is not None]
+            if fences and not any(math.isnan(v) for v in fences):
+                beyond = f"{x} < {double_literal(fences[0])} OR {x} > {double_literal(fences[1])}"
             out["n_outliers"] = f"count(CASE WHEN {beyond} THEN 1 END)"
         return out
 

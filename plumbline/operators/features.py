@@ -23,7 +23,7 @@ from plumbline.functions.fields import (
     text_literal,
     union_all,
 )
-from plumbline.functions.numbers import digamma, percent
+from plumbline.functions.numbers import digamma, double_literal, percent
 from plumbline.functions.text import gather
 from plumbline.operators.columns import (
     column_sums,
@@ -53,18 +53,16 @@ LARGE_MAX, LARGE_SPREAD = 1000, 2
 # Products per aggregation, and pairs beyond which the matrix form is used.
 PRODUCTS_PER_PASS = 60
 MATRIX_PAIRS = 600
-# A forest keeps counts per class in every node, so it is not grown for more.
-MAX_CLASSES = 10_000
 
 
 # ------------------------------------------------------------------ correlation
 
 
-def correlations(table: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def correlations(table: DataFrame, pairs: Sequence[tuple[str, str]], least: float = 0.0) -> DataFrame:
     """(feature_a, feature_b, r) for the named pairs of a table without nulls.
 
     One scan for the means, one for all centred products. ``r`` is NULL where
-    either side is constant.
+    either side is constant. Pairs below ``least`` may be left out.
     """
     spark = table.sparkSession
     if not pairs:
@@ -76,10 +74,12 @@ def correlations(table: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
     ).collect()
     means = {r.column: (r.sum / r.n_total if r.n_total and r.min < r.max else None) for r in sums}
     varying = [p for p in pairs if means[p[0]] is not None and means[p[1]] is not None]
-    constant = [(*p, None) for p in pairs if p not in set(varying)]
+    known = set(varying)
+    constant = [(*p, None) for p in pairs if p not in known]
     parts = [local_table(spark, constant, "feature_a string, feature_b string, r double")]
-    if len(varying) > MATRIX_PAIRS:
-        parts.append(_correlation_matrix(numbers[""], means, varying))
+    # the matrix pays for itself only if most of its cells are wanted
+    if len(varying) > max(MATRIX_PAIRS, 2 * len(used)):
+        parts.append(_correlation_matrix(numbers[""], means, varying, least))
     else:
         for start in range(0, len(varying), PRODUCTS_PER_PASS):
             parts.append(_centred_products(numbers[""], means, varying[start : start + PRODUCTS_PER_PASS]))
@@ -87,7 +87,7 @@ def correlations(table: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFram
 
 
 def _centred_products(table, means, pairs):
-    off = {c: f"({quoted(c)} - {means[c]!r}D)" for pair in pairs for c in pair}
+    off = {c: f"({quoted(c)} - {double_literal(means[c])})" for pair in pairs for c in pair}
     at = {c: i for i, c in enumerate(off)}
     squares = [f"sum({x} * {x}) AS s{at[c]}" for c, x in off.items()]
     products = [f"sum({off[a]} * {off[b]}) AS p{i}" for i, (a, b) in enumerate(pairs)]
@@ -99,7 +99,7 @@ def _centred_products(table, means, pairs):
     return table.selectExpr(*squares, *products).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _correlation_matrix(table, means, pairs):
+def _correlation_matrix(table, means, pairs, least):
     """All pairs from one distributed product matrix, for wide tables.
 
     The matrix has columns x columns cells, whatever the number of rows.
@@ -109,7 +109,7 @@ def _correlation_matrix(table, means, pairs):
     vectors = VectorAssembler(inputCols=centred.columns, outputCol="v").transform(centred).select("v")
     matrix = Correlation.corr(vectors, "v").first()[0].toArray()
     at = {c: i for i, c in enumerate(used)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
+    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs if not abs(matrix[at[a], at[b]]) < least]
     return local_table(table.sparkSession, rows, "feature_a string, feature_b string, r double")
 
 
@@ -128,7 +128,7 @@ def high_correlation_pairs(
     """Feature pairs, in column order, with \\|r\\| at or above the threshold."""
     features = [c for c in table.columns if c != target]
     return (
-        correlations(table, list(combinations(features, 2)))
+        correlations(table, list(combinations(features, 2)), threshold)
         .where(F.abs("r") >= threshold)
         .select("feature_a", "feature_b", F.col("r").alias("correlation"))
         .orderBy(F.desc(F.abs("correlation")), "feature_a", "feature_b")
@@ -181,7 +181,7 @@ def mutual_information_binned(
 
     def bin_of(f: Field) -> str:
         cuts = sorted({e for e in edges[f.id] if e is not None})
-        return " + ".join(["0", *[f"CAST({f.sql} > {e!r}D AS INT)" for e in cuts]])
+        return " + ".join(["0", *[f"CAST({f.sql} > {double_literal(e)} AS INT)" for e in cuts]])
 
     binned = {f.name: bin_of(f) for f in fields}
     by_name = {f.name: f.id for f in fields}
@@ -225,19 +225,20 @@ def mutual_information_knn(
     difference of two positions. So there are no pairs of rows, and sorted runs
     are spread over tasks when a class or table is longer than one task's share.
 
-    A hash-based jitter far below the scale of a feature breaks ties.
+    A jitter far below the scale of a feature, drawn for each row and feature,
+    breaks ties, also between equal rows.
     """
     features = [c for c in table.columns if c != target]
     if not features or not _is_class(table, target):
         return _no_scores(table, "mi_score", max_features)
     rows = _long_features(table, target, features, jitter)
     sizes = rows.groupBy("feature", "y").agg(F.count(F.lit(1)).alias("size"))
-    sizes = small_table(sizes.where("size > 1"))
+    sizes = sizes.where("size > 1")
     largest = sizes.agg(F.max("size")).first()[0] or 0
     in_all = sizes.groupBy("feature").agg(F.sum("size").alias("total"))
     longest = in_all.agg(F.max("total")).first()[0] or 0
 
-    reach = _reach(rows.join(F.broadcast(sizes), ["feature", "y"]), k, rows_per_task, largest)
+    reach = _reach(rows.join(sizes, ["feature", "y"]), k, rows_per_task, largest)
     counted = _within(reach, rows_per_task, 3 * longest > rows_per_task)
     scored = (
         counted.groupBy("feature")
@@ -270,14 +271,16 @@ def _long_features(table, target, features, jitter):
     )
     spread = {r.id: r for r in with_moments(sums.join(deviations(numbers, fields, sums), "id")).collect()}
     shown = [f"CAST({quoted(target)} AS DOUBLE) AS y", "monotonically_increasing_id() AS row"]
-    everything = ", ".join(quoted(c) for c in table.columns)
+    # frozen first, so that the row numbers the jitter is drawn from stay
+    table = freeze(table.selectExpr(*shown, *[f"{f.sql} AS `{f.id}`" for f in fields]))
+    shown = ["y", "row"]
     for f in fields:
         row = spread[f.id]
         size = jitter * max(row["std"] or 1.0, abs(row["mean"] or 0.0))
-        u1 = f"((xxhash64({f.id}, {everything}) & 9007199254740991) + 1) / 9007199254740993D"
-        u2 = f"(xxhash64({f.id}, 'angle', {everything}) & 9007199254740991) / 9007199254740992D"
+        u1 = f"((xxhash64({f.id}, row) & 9007199254740991) + 1) / 9007199254740993D"
+        u2 = f"(xxhash64({f.id}, 'angle', row) & 9007199254740991) / 9007199254740992D"
         normal = f"sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2})"
-        shown.append(f"{f.sql} + {size!r}D * {normal} AS `{f.id}`")
+        shown.append(f"`{f.id}` + {double_literal(size)} * {normal} AS `{f.id}`")
     wide = table.selectExpr(*shown)
     long = wide.unpivot(["y", "row"], [str(f.id) for f in fields], "feature", "x")
     return freeze(long.withColumn("feature", F.col("feature").cast("int")).withColumn("one", F.lit(1)))
@@ -367,12 +370,11 @@ def forest_importance(
     label, extra = column(target), {"featureSubsetStrategy": "all"}
     forest = RandomForestRegressor
     if task == "classification":
-        classes = _classes(table, target)
-        if classes is None:
+        if not _is_class(table, target):
             return _no_scores(table, "importance", max_features)
-        number = F.array_position(F.array(*[F.lit(c) for c in classes]), column(target)) - 1
-        values = {"ml_attr": {"type": "nominal", "name": "label", "vals": [str(c) for c in classes]}}
-        label = number.cast("double").alias("label", metadata=values)
+        table, target, n_classes = _with_class_number(table, target)
+        values = {"ml_attr": {"type": "nominal", "name": "label", "num_vals": n_classes}}
+        label = column(target).cast("double").alias("label", metadata=values)
         forest, extra = RandomForestClassifier, {"featureSubsetStrategy": "sqrt"}
     named = table.select(label.alias("label") if task != "classification" else label,
                          *[column(c).alias(f"f{i}") for i, c in enumerate(features)])
@@ -391,13 +393,17 @@ def _is_class(table: DataFrame, target: str) -> bool:
     return bool(table.agg(F.bool_and(y == F.floor(y)).alias("whole")).first().whole)
 
 
-def _classes(table: DataFrame, target: str) -> list[float] | None:
-    """The class values in order, or None when the target is no class."""
-    if not _is_class(table, target):
-        return None
-    y = column(target).cast("double").alias("y")
-    found = table.select(y).distinct().limit(MAX_CLASSES + 1).collect()
-    return sorted(r.y for r in found) if len(found) <= MAX_CLASSES else None
+def _with_class_number(table: DataFrame, target: str) -> tuple[DataFrame, str, int]:
+    """Add the number 0..k-1 of each row's class; (table, name of the added column, k)."""
+    name = "class number"
+    while name in table.columns:
+        name += "'"
+    y = column(target).cast("double")
+    classes = table.select(y.alias("class value")).distinct()
+    number = F.row_number().over(Window.orderBy("class value")) - 1  # one row per class
+    classes = freeze(classes.select("class value", number.alias(name)))
+    joined = table.join(classes, y == F.col("class value")).drop("class value")
+    return joined, name, classes.count()
 
 
 # --------------------------------------------------------------- transform advice

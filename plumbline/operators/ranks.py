@@ -40,8 +40,9 @@ def running_totals(
         return rows.withColumn("before", F.coalesce(F.sum(weight).over(ahead), F.lit(0)))
 
     keys = [*[F.asc_nulls_first(c) for c in group], *order_by]
+    n_slices = max(_slices(rows.sparkSession), -(-rows.count() // ROWS_PER_TASK))
     slices = freeze(
-        rows.repartitionByRange(_slices(rows.sparkSession), *keys).withColumn(
+        rows.repartitionByRange(n_slices, *keys).withColumn(
             "slice", F.spark_partition_id()
         )
     )

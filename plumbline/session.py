@@ -28,11 +28,14 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as the session names it.
 
-    A folder of our own is made only where the session names none, as in tests.
+    A folder of our own is made only in local mode, as in tests: on a cluster
+    every executor would write to its own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="plumbline-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -82,12 +82,27 @@ def sheet_rows(content: bytes, sheet: int | str):
                 number = int(node.get("r", 0))
                 node.clear()
                 if not names:
-                    names = {at: text for at, (_, text) in cells.items() if text is not None}
+                    names = headings({at: text for at, (_, text) in cells.items() if text is not None})
                 else:
                     blank = ("", None)
+                    for at in cells.keys() - names.keys():
+                        names[at] = f"Unnamed: {at}"
                     yield number, {n: (*cells.get(at, blank), at) for at, n in names.items()}
 
 
+def headings(texts: dict[int, str]) -> dict[int, str]:
+    """A name for every column up to the last heading: empty ones by position, equal ones numbered."""
+    names: dict[int, str] = {}
+    for at in range(max(texts, default=-1) + 1):
+        name = base = texts.get(at, f"Unnamed: {at}")
+        n = 0
+        while name in names.values():
+            n += 1
+            name = f"{base}.{n}"
+        names[at] = name
+    return names
+
+
 def _cell(node, index, shared, dates):
     letters = re.match("[A-Z]+", node.get("r", ""))
     at = index

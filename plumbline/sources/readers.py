@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -51,11 +53,14 @@ def load_csv(spark: SparkSession, path: str, schema=None, **options) -> DataFram
 
     Without a schema the types come from one pass over all values, after the
     missing ones are out of the way: whole numbers, decimals, true/false, text.
+    Quotes inside quotes are doubled. Files in which a quoted value has a line
+    break are read whole, each in a task; the others stay splittable.
     """
-    options = {"header": True, **options}
+    options = {"header": True, "escape": '"', **options}
     if schema is not None:
-        return spark.read.options(**options).schema(schema).csv(str(path))
-    raw = spark.read.options(**options, inferSchema=False).csv(str(path))
+        return _read_split(spark, path, _BROKEN_LINE, lambda r: r.options(**options).schema(schema), "csv")
+    options["inferSchema"] = False
+    raw = _read_split(spark, path, _BROKEN_LINE, lambda r: r.options(**options), "csv")
     text = raw.select(
         *[F.when(~column(c).isin(*MISSING), column(c)).alias(c) for c in raw.columns]
     )
@@ -79,20 +84,36 @@ def typed_text(text: DataFrame) -> DataFrame:
 
 
 def load_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Read JSON records: one array, or one object per line.
+    """Read JSON records: one array, one spread-out object, or one object per line.
 
-    The first character decides, because reading lines as one document would
-    silently keep the first record only.
+    Each file is read in its own way: in a file of lines no line begins an array
+    or is a brace alone, and any other file has such a line.
     """
-    lines = spark.read.text(str(path)).where(F.trim("value") != "")
-    first = lines.select(F.substring(F.ltrim("value"), 1, 1).alias("c")).head(1)
-    is_array = bool(first) and first[0].c == "["
-    return spark.read.options(multiLine=is_array, **options).json(str(path))
+    return _read_split(spark, path, _NOT_A_RECORD, lambda r: r.options(**options), "json")
+
+
+# A line with a quote that it does not close; a line that no file of JSON records has.
+_BROKEN_LINE = "(length(value) - length(replace(value, '\"', ''))) % 2 = 1"
+_NOT_A_RECORD = "ltrim(value) LIKE '[%' OR trim(value) = '{'"
+
+
+def _read_split(spark: SparkSession, path: str, whole_if: str, prepared, fmt: str) -> DataFrame:
+    """Read the files in which some line meets the condition as whole documents, the others by lines."""
+    lines = spark.read.text(str(path)).select("value", F.col("_metadata.file_path").alias("file"))
+    files = lines.groupBy("file").agg(F.coalesce(F.bool_or(F.expr(whole_if)), F.lit(False)).alias("whole")).collect()
+    groups = {w: sorted(r.file for r in files if r.whole == w) for w in (False, True)}  # a row per file
+    if not groups[True]:
+        return getattr(prepared(spark.read), fmt)(str(path))
+    parts = [
+        getattr(prepared(spark.read).option("multiLine", w), fmt)([unquote(f) for f in names])
+        for w, names in groups.items() if names
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load_excel(spark: SparkSession, path: str, sheet: int | str = 0) -> DataFrame:
     """Read one sheet of a workbook, or of every workbook in a folder."""
     if detect_format(path) == ".xls":
         raise ValueError("Legacy .xls workbooks are not supported; save them as .xlsx")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(str(path))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[xX][lL][sS][xX]").load(str(path))
     return read_excel(files.select("path", "content"), sheet)

@@ -150,3 +150,17 @@ def test_numeric_advice_limits(spark):
     assert found["ten_words"] == ["one-hot encode (10 categories)"]
     assert found["fifty"] == ["target or frequency encode"]
     assert found["more_words"] == ["hash or embed (very many values)"]
+
+
+def test_neighbour_information_of_repeated_rows(spark):
+    df = spark.range(2000).selectExpr("CAST(id % 2 AS DOUBLE) AS target", "CAST(5 * (id % 2) AS DOUBLE) AS x")
+    score = features.mutual_information_knn(df, "target").first().mi_score
+    assert abs(score - math.log(2)) < 0.01
+
+
+def test_infinite_value_spoils_one_column_only(spark):
+    from plumbline import profile
+
+    df = spark.range(30).selectExpr("IF(id = 3, double('Infinity'), double(id)) AS x", "double(id) AS y")
+    rows = {r.column: r for r in profile({"d": df})["column_profile"].collect()}
+    assert rows["x"]["std"] is None and abs(rows["y"]["std"] - 8.8034) < 1e-3

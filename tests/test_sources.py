@@ -113,3 +113,21 @@ def test_samples_do_not_depend_on_partitions(spark):
         one = sorted(map(str, make(ids.repartition(1)).collect()))
         many = sorted(map(str, make(ids.repartition(7), rows_per_task=30).collect()))
         assert one == many
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text,n\n1,"say ""hi"", ok",5\n2,"two\nlines",6\n')
+    (tmp_path / "b.csv").write_text('id,text,n\n3,"plain",7\n')
+    rows = readers.load_csv(spark, str(tmp_path)).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", ok', 5), (2, "two\nlines", 6), (3, "plain", 7)]
+
+
+def test_json_folder_of_both_kinds(spark, tmp_path):
+    (tmp_path / "a.json").write_text("[\n" + ",\n".join(f'{{"id": {i}, "x": [1]}}' for i in range(100)) + "\n]")
+    (tmp_path / "b.json").write_text("\n".join(f'{{"id": {i}}}' for i in range(100, 103)))
+    got = readers.load_json(spark, str(tmp_path))
+    assert got.columns == ["id", "x"] and sorted(r.id for r in got.collect()) == list(range(103))
+
+
+def test_excel_headings():
+    assert excel.headings({0: "a", 1: "a", 3: "c"}) == {0: "a", 1: "a.1", 2: "Unnamed: 2", 3: "c"}
