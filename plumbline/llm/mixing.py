@@ -88,13 +88,20 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, program: int = PRO
 
 
 def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
-    """Extra documents per length of one source: a row per distinct length comes in."""
-    budget, words = int(group["budget"].iloc[0]), int(group["words"].iloc[0])
+    """Whole copies, and documents with one more, per length of one source: a row per distinct length comes in."""
+    budget, words, whole = (int(group[c].iloc[0]) for c in ("budget", "words", "whole"))
     lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
     share = np.minimum(np.floor(counts * (budget / words)).astype(np.int64), counts)
     rest = budget - int((share * lengths).sum())
     extra = share + fit(lengths, counts - share, rest) if rest > 0 else share
-    return pd.DataFrame({"key": group["key"], "size": group["size"], "extra": extra})
+    base = np.full(len(lengths), whole, np.int64)
+    target = whole * words + budget
+    if target <= PROGRAM and (extra * lengths).sum() < budget:
+        # a small source: leaving some documents out to take others again may come closer
+        copies = fit(lengths, int(group["most"].iloc[0]) * counts, target)
+        if (copies * lengths).sum() > whole * words + (extra * lengths).sum():
+            base, extra = np.divmod(copies, counts)
+    return pd.DataFrame({"key": group["key"], "size": group["size"], "base": base, "extra": extra})
 
 
 def mix_sources(
@@ -133,23 +140,24 @@ def mix_sources(
     aims = stash(aims.withColumn("budget", F.least(F.greatest(budget, F.lit(0)), F.col("words"))), "aims")
 
     work = lengths.where("size > 0").select("key", "size", "n").join(aims.where("budget > 0"), "key")
-    work = work.select("key", "size", "n", "budget", "words")
-    extra = work.groupBy("key").applyInPandas(_fit_source, "key string, size long, extra long")
+    work = work.select("key", "size", "n", "budget", "words", "whole", F.lit(most).alias("most"))
+    extra = work.groupBy("key").applyInPandas(_fit_source, "key string, size long, base long, extra long")
 
     # Slices before the edge are taken whole, the one at the edge in hash order.
     draw = F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.col("th"))
     rows = rows.withColumn("draw", draw).withColumn("slice", F.pmod("draw", F.lit(SLICES)))
     slices = rows.where("size > 0").groupBy("key", "size", "slice").agg(F.count(F.lit(1)).alias("n"))
-    slices = slices.join(extra.where("extra > 0"), ["key", "size"])
+    slices = slices.join(extra, ["key", "size"])
     ahead = Window.partitionBy("key", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("left", F.col("extra") - F.coalesce(F.sum("n").over(ahead), F.lit(0))).where("left > 0")
-    slices = slices.select("key", "size", "slice", F.col("n").alias("n_slice"), "left")
+    slices = slices.withColumn("left", F.col("extra") - F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    slices = slices.select("key", "size", "slice", "base", F.col("n").alias("n_slice"), F.greatest("left", F.lit(0)).alias("left"))
     joined = rows.join(slices, ["key", "size", "slice"], "left")
-    edge = joined.where("left < n_slice")
+    edge = joined.where("left > 0 AND left < n_slice")
     rank = F.row_number().over(Window.partitionBy("key", "size", "slice").orderBy("draw", "id", "th"))
     edge = edge.withColumn("more", (rank <= F.col("left")).cast("int"))
-    sure = joined.where("left IS NULL OR left >= n_slice").withColumn("more", F.col("left").isNotNull().cast("int"))
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.col("more")).otherwise(F.lit(0))
+    sure = joined.where("left IS NULL OR left = 0 OR left >= n_slice")
+    sure = sure.withColumn("more", F.coalesce((F.col("left") > 0).cast("int"), F.lit(0)))
+    copies = F.when(F.col("size") > 0, F.coalesce("base", "whole") + F.col("more")).otherwise(F.lit(0))
     aims = aims.select("key", F.col("words").alias("source_size"), "target", "whole")
     return (
         sure.unionByName(edge).join(aims, "key").withColumn("copies", copies.cast("long"))
