@@ -104,6 +104,15 @@ def component_of(rows, radius=3):
     return [(r[0], f"{m:016x}", ids.get(g)) for r, m, g in zip(rows, marks, group)]
 
 
+def closest_below(lengths, target, most=2):
+    """Greatest sum up to the target of the lengths, each taken 0 to ``most`` times."""
+    reach = 1
+    for n in lengths:
+        for _ in range(most):
+            reach |= reach << n
+    return (reach & ((1 << (target + 1)) - 1)).bit_length() - 1
+
+
 def license_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
 
