@@ -162,14 +162,6 @@ def scores(uses: DataFrame, raw: DataFrame, penalty: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------- recommendations, risks
 
-BAND_ADVICE = [
-    ("HIGH", "Readiness is HIGH: go on to feature work."),
-    ("MODERATE", "Readiness is MODERATE: close the important gaps before modelling."),
-    ("LOW", "Readiness is LOW: close the critical gaps first."),
-    ("VERY LOW", "Readiness is VERY LOW: much data has to be found first."),
-]
-
-
 def recommendations(
     columns: DataFrame, totals: DataFrame, matches: DataFrame, score_table: DataFrame
 ) -> DataFrame:
@@ -189,27 +181,24 @@ def recommendations(
     missing = matches.where("matched_column IS NULL")
     sparse = uses.join(F.broadcast(totals), "dataset").where(F.col("overall_null_pct") > NULL_ADVICE_PCT)
     spread = uses.join(columns, "dataset").where(F.col("pct_outliers") > OUTLIER_ADVICE_PCT)
-    verdict = steps(F.col("score"), [(limit, dict(BAND_ADVICE)[name]) for limit, name in BANDS],
-                    dict(BAND_ADVICE)[LOWEST_BAND], strict=False)
+    verdict = F.format_string("%s of 100 points after %s off for quality: %s.", F.col("score").cast("string"),
+                              F.col("quality_penalty").cast("string"), "band")
     parts = [
         part(
             missing.where("tier = 'critical'"), 1, F.col("req_no"), "critical",
-            F.format_string("Find data for '%s': %s cannot do without it.", "description",
-                            F.replace("use_case", F.lit("_"), F.lit(" "))),
+            F.format_string("No column for '%s' (critical, weight %d).", "description", "weight"),
         ),
         part(
             missing.where("tier = 'important'"), 2, F.col("req_no"), "important",
-            F.format_string("Add '%s': it helps the model markedly.", "description"),
+            F.format_string("No column for '%s' (important, weight %d).", "description", "weight"),
         ),
         part(
             sparse, 3, F.lit(0), "quality",
-            F.format_string("%.2f%% of all values are null: impute numbers by median and "
-                            "categories by mode.", "overall_null_pct"),
+            F.format_string("%.2f%% of the cells hold nothing.", "overall_null_pct"),
         ),
         part(
             spread, 4, F.col("position"), "outliers",
-            F.format_string("Column '%s' has %.2f%% outliers: cap at the fences or look into them.",
-                            "column", "pct_outliers"),
+            F.format_string("%.2f%% of the values of '%s' lie outside its fences.", "pct_outliers", "column"),
         ),
         part(score_table, 5, F.lit(0), "verdict", verdict),
     ]
@@ -247,16 +236,16 @@ def risks(totals: DataFrame, matches: DataFrame, score_table: DataFrame) -> Data
     parts = [
         part(gaps, 1, "HIGH", "Critical fields missing",
              F.format_string("%d critical field(s) not in the data", "n_missing"),
-             "Look for them in billing, customer or support systems"),
+             "See the list of missing fields"),
         part(uses.where(F.col("overall_null_pct") > NULL_RISK_PCT), 2, "HIGH", "Many nulls",
              F.format_string("%.2f%% of all values are null", "overall_null_pct"),
-             "Collect the data better and impute what is left"),
+             "See the null share of each column"),
         part(uses.where(few), 3, "HIGH", "Too few rows",
-             F.format_string("%d rows; 1,000 is a sensible least", "n_rows"),
-             "Collect over a longer time or add generated rows"),
+             F.format_string("%d rows, under %d", "n_rows", F.lit(FEW_ROWS)),
+             "Compare scores over several splits"),
         part(uses.where(modest), 3, "MEDIUM", "Modest number of rows",
-             F.format_string("%d rows may not be enough to generalise", "n_rows"),
-             "Collect more history"),
+             F.format_string("%d rows, under %d", "n_rows", F.lit(MODEST_ROWS)),
+             "Watch how scores vary with the split"),
     ]
     order = Window.partitionBy("dataset", "use_case").orderBy("section")
     return (

@@ -277,25 +277,22 @@ def readiness_ctes(names):
 RECOMMENDATIONS = """
 recs0 AS (
   SELECT dataset, use_case, 1 AS section, req_no AS item, 'critical' AS severity,
-    printf('Find data for ''%s'': %s cannot do without it.', description, replace(use_case, '_', ' ')) AS text
+    printf('No column for ''%s'' (critical, weight %d).', description, weight) AS text
   FROM match WHERE tier = 'critical' AND matched_column IS NULL
   UNION ALL
-  SELECT dataset, use_case, 2, req_no, 'important', printf('Add ''%s'': it helps the model markedly.', description)
+  SELECT dataset, use_case, 2, req_no, 'important', printf('No column for ''%s'' (important, weight %d).', description, weight)
   FROM match WHERE tier = 'important' AND matched_column IS NULL
   UNION ALL
   SELECT dataset, use_case, 3, 0, 'quality',
-    printf('%.2f%% of all values are null: impute numbers by median and categories by mode.', overall_null_pct)
+    printf('%.2f%% of the cells hold nothing.', overall_null_pct)
   FROM uses JOIN totals USING (dataset) WHERE overall_null_pct > 8
   UNION ALL
   SELECT dataset, use_case, 4, position, 'outliers',
-    printf('Column ''%s'' has %.2f%% outliers: cap at the fences or look into them.', "column", pct_outliers)
+    printf('%.2f%% of the values of ''%s'' lie outside its fences.', pct_outliers, "column")
   FROM uses JOIN profiled USING (dataset) WHERE pct_outliers > 5
   UNION ALL
   SELECT dataset, use_case, 5, 0, 'verdict',
-    CASE WHEN score >= 80 THEN 'Readiness is HIGH: go on to feature work.'
-         WHEN score >= 60 THEN 'Readiness is MODERATE: close the important gaps before modelling.'
-         WHEN score >= 40 THEN 'Readiness is LOW: close the critical gaps first.'
-         ELSE 'Readiness is VERY LOW: much data has to be found first.' END
+    score || ' of 100 points after ' || quality_penalty || ' off for quality: ' || band || '.'
   FROM banded),
 recs AS (
   SELECT dataset, use_case, row_number() OVER (PARTITION BY dataset, use_case ORDER BY section, item)::INTEGER AS seq, severity, text
@@ -305,18 +302,17 @@ RISKS = """
 risks0 AS (
   SELECT dataset, use_case, 1 AS section, 'HIGH' AS severity, 'Critical fields missing' AS risk,
     printf('%d critical field(s) not in the data', count(*)) AS detail,
-    'Look for them in billing, customer or support systems' AS mitigation
+    'See the list of missing fields' AS mitigation
   FROM match WHERE tier = 'critical' AND matched_column IS NULL GROUP BY ALL
   UNION ALL
   SELECT dataset, use_case, 2, 'HIGH', 'Many nulls', printf('%.2f%% of all values are null', overall_null_pct),
-    'Collect the data better and impute what is left'
+    'See the null share of each column'
   FROM uses JOIN totals USING (dataset) WHERE overall_null_pct > 15
   UNION ALL
   SELECT dataset, use_case, 3, CASE WHEN n_rows < 500 THEN 'HIGH' ELSE 'MEDIUM' END,
     CASE WHEN n_rows < 500 THEN 'Too few rows' ELSE 'Modest number of rows' END,
-    CASE WHEN n_rows < 500 THEN printf('%d rows; 1,000 is a sensible least', n_rows)
-         ELSE printf('%d rows may not be enough to generalise', n_rows) END,
-    CASE WHEN n_rows < 500 THEN 'Collect over a longer time or add generated rows' ELSE 'Collect more history' END
+    printf('%d rows, under %d', n_rows, CASE WHEN n_rows < 500 THEN 500 ELSE 2000 END),
+    CASE WHEN n_rows < 500 THEN 'Compare scores over several splits' ELSE 'Watch how scores vary with the split' END
   FROM uses JOIN totals USING (dataset) WHERE n_rows < 2000),
 risks AS (
   SELECT dataset, use_case, row_number() OVER (PARTITION BY dataset, use_case ORDER BY section)::INTEGER AS seq,
@@ -500,19 +496,18 @@ points AS (
 ranked AS (
   SELECT dataset, use_case, task, model_key, model_name, points::INTEGER AS score, poc_days, production_days,
     row_number() OVER (PARTITION BY dataset, use_case, task ORDER BY points DESC, pos)::INTEGER AS rank,
-    coalesce(replace(reason, '{{size}}', data_size), printf('A sound choice for %s, %s data.', data_size, class_balance)) AS rationale
+    coalesce(replace(reason, '{{size}}', data_size), printf('Data is %s, classes %s.', data_size, class_balance)) AS rationale
   FROM points),
 strategy AS (
   SELECT t.dataset, t.use_case, r.model_key AS primary_model, r.model_name AS primary_name,
     CASE WHEN n_rows < 1000 THEN '5-fold cross-validation' WHEN n_rows < 10000 THEN 'stratified 70/15/15 split'
          ELSE '80/10/10 split, by time if there is one' END AS training,
-    CASE WHEN n_rows < 1000 THEN 'few rows: let each one serve in training and in testing'
-         WHEN n_rows < 10000 THEN 'enough rows to keep a test set apart' ELSE 'many rows: a plain split is steady' END AS training_reason,
+    CASE WHEN n_rows < 1000 THEN 'under 1000 rows' WHEN n_rows < 10000 THEN '1000 to 9999 rows' ELSE '10000 rows or more' END AS training_reason,
     CASE WHEN n_rows < 1000 THEN '80/20 stratified' WHEN n_rows < 10000 THEN '70/15/15 stratified' ELSE '80/10/10' END AS train_split,
     'AUC-ROC' AS primary_metric,
     CASE WHEN class_balance = 'imbalanced' THEN 'macro F1, precision-recall curve, Cohen''s kappa' ELSE 'F1, precision, recall' END AS secondary_metrics,
-    CASE WHEN class_balance = 'imbalanced' THEN 'accuracy misleads when a class is rare' ELSE 'also follow the cost of each kind of error' END AS metric_note,
-    CASE WHEN class_balance = 'imbalanced' THEN 'choose by F1 or by a cost table' ELSE 'start at 0.5 and move with the cost of false alarms' END AS threshold,
+    'class balance: ' || class_balance AS metric_note,
+    CASE WHEN class_balance = 'imbalanced' THEN 'tune on validation rows' ELSE '0.5' END AS threshold,
     r.poc_days, r.production_days
   FROM traits t LEFT JOIN ranked r ON r.dataset = t.dataset AND r.use_case = t.use_case AND r.task = 'classification' AND r.rank = 1)"""
 
@@ -552,13 +547,11 @@ def report_ctes():
     top = "ranked WHERE task = 'classification' AND rank <= 3"
     return f"""{model_ctes()}, {warnings_sql()}, {RECOMMENDATIONS}, {RISKS}, mi AS ({mi_rank}), adv AS ({adv}),
 facts_ AS (
-  SELECT b.dataset, b.use_case, b.score, b.band, b.bar, t.n_rows, t.n_cols, t.size_mb, t.overall_null_pct,
+  SELECT b.dataset, b.use_case, b.raw_score, b.quality_penalty, b.score, b.band, b.bar, t.n_rows, t.n_cols, t.size_mb, t.overall_null_pct,
     CASE WHEN b.dataset = 'returns' THEN (SELECT count(*) FROM pairs WHERE abs(r) >= 0.85) ELSE 0 END AS n_pairs,
     coalesce(w.warnings, []) AS warnings, ty.types, coalesce(f.features, []) AS features, coalesce(a.advice, []) AS advice,
     coalesce(mc.missing_critical, []) AS missing_critical, coalesce(mi_.missing_important, []) AS missing_important,
-    r.recommendations, coalesce(k.risks, []) AS risks, coalesce(k2.risk_names, []) AS risk_names, m.models, m2.model_lines, s.*,
-    CASE WHEN score >= 80 THEN 'The data can be modelled as it is.' WHEN score >= 60 THEN 'Close the important gaps before full training.'
-         WHEN score >= 40 THEN 'Marked gaps have to be closed first.' ELSE 'Much data has to be found before modelling.' END AS note
+    r.recommendations, coalesce(k.risks, []) AS risks, coalesce(k2.risk_names, []) AS risk_names, m.models, m2.model_lines, s.*
   FROM banded b JOIN totals t USING (dataset) JOIN strategy s USING (dataset, use_case)
   LEFT JOIN {listed('warned', 'seq', 'message', 'warnings')} w USING (dataset)
   LEFT JOIN (SELECT dataset, list(printf('"%s": %d', inferred_type, n) ORDER BY inferred_type) AS types
@@ -573,25 +566,18 @@ facts_ AS (
   LEFT JOIN {listed(top, 'rank', 'model_name', 'models', keys)} m USING (dataset, use_case)
   LEFT JOIN {listed(top, 'rank', "printf('- **%s** — %s', model_name, rationale)", 'model_lines', keys)} m2 USING (dataset, use_case)),
 told AS (
-  SELECT *, {TITLE} || ': ' || format('{{:,}}', n_rows) || ' rows × ' || n_cols || ' columns, readiness ' || score || '/100 (' || band || '), '
-      || overall_null_pct || '% null, ' || CASE WHEN len(missing_critical) = 0 THEN 'no critical gaps' ELSE len(missing_critical) || ' critical gap(s)' END
-      || '. ' || note AS executive_summary,
-    'Readiness is ' || score || '/100. With ' || overall_null_pct || '% null over ' || n_cols || ' columns data quality is '
-      || CASE WHEN overall_null_pct < 5 THEN 'good' WHEN overall_null_pct < 15 THEN 'moderate' ELSE 'poor' END || '. '
-      || CASE WHEN len(missing_critical) = 0 THEN 'No critical field is missing.'
-              ELSE 'Critical fields to find: ' || array_to_string(missing_critical, ', ') || '.' END || ' ' || note AS assessment,
-    [format('{{:,}}', n_rows) || ' rows and ' || n_cols || ' columns',
-     overall_null_pct || '% null, ' || CASE WHEN overall_null_pct < 5 THEN 'acceptable' ELSE 'needs care' END,
-     'readiness ' || score || '/100 (' || band || ')',
-     'critical fields missing: ' || CASE WHEN len(missing_critical) = 0 THEN 'none' ELSE array_to_string(missing_critical, ', ') END,
-     'first model to try: ' || primary_name] || warnings[1:3]
-     || CASE WHEN len(features) > 0 THEN ['best features: ' || array_to_string(features[1:3], ', ')] ELSE [] END AS findings,
-    ['Build a ' || {TITLE} || ' model with ' || primary_name, 'Combine the best features into new ones', 'Retrain when the data drifts']
-     || CASE WHEN len(missing_critical) = 0 THEN ['Score probabilities or several classes'] ELSE [] END AS opportunities,
-    CASE WHEN len(missing_critical) = 0 THEN [] ELSE ['[Week 1] Find the missing critical data: ' || array_to_string(missing_critical, ', ')] END
-     || ['[Week 1-2] Clean and impute nulls', '[Week 2] Build features and encode categories',
-         '[Week 2-3] Train ' || primary_name || ' as a start', '[Week 3] Judge by AUC-ROC, F1 and business cost',
-         '[Week 4] Serve the best model', '[Ongoing] Watch for drift, retrain monthly'] AS next_steps
+  SELECT *, {TITLE} || ', ' || dataset || ': ' || score || ' of 100 (' || band || ') on ' || format('{{:,}}', n_rows) || ' rows of '
+      || n_cols || ' columns.' AS executive_summary,
+    'Fields earn ' || raw_score || ' points, quality takes off ' || quality_penalty || ' (' || overall_null_pct || '% of cells null); '
+      || CASE WHEN len(missing_critical) = 0 THEN 'every critical field has a column'
+              ELSE 'critical fields without a column: ' || array_to_string(missing_critical, ', ') END || '.' AS assessment,
+    warnings[1:3] || ['columns by type: ' || array_to_string(types, ', ')]
+      || CASE WHEN n_pairs > 0 THEN [n_pairs || ' pair(s) of columns nearly repeat each other'] ELSE [] END
+      || CASE WHEN len(features) > 0 THEN ['tells most of the target: ' || features[1]] ELSE [] END AS findings,
+    list_transform(missing_important, lambda x: 'a column for ''' || x || ''' would add points')
+      || CASE WHEN poc_days IS NOT NULL THEN [primary_name || ': about ' || poc_days || ' day(s) to a trial'] ELSE [] END AS opportunities,
+    list_transform(missing_critical, lambda x: 'load a column for ''' || x || '''') || list_transform(advice[1:5], lambda x: 'reshape ' || x)
+      || CASE WHEN primary_name IS NOT NULL THEN ['fit ' || primary_name || ' by ' || training || ', compare ' || primary_metric] ELSE [] END AS next_steps
   FROM facts_)"""
 
 
@@ -632,7 +618,7 @@ MARKDOWN = " || chr(10) || ".join(
         "chr(10) || '**Training:** ' || training || ' — ' || training_reason",
         "chr(10) || '**Evaluation:** ' || primary_metric || ', then ' || secondary_metrics",
         "chr(10) || '## Next steps'",
-        "array_to_string(list_transform(range(1, len(next_steps) + 1), lambda i: i || '. ' || next_steps[i]), chr(10))",
+        "CASE WHEN len(next_steps) = 0 THEN '- none' ELSE array_to_string(list_transform(range(1, len(next_steps) + 1), lambda i: i || '. ' || next_steps[i]), chr(10)) END",
     ]
 )
 PROMPT = " || chr(10) || ".join(
