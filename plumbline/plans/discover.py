@@ -69,6 +69,13 @@ STAGE_TABLES = {
 }
 
 
+PATHS = "dataset string, use_case string, kind string, path string"
+
+
+def _error(problem: Exception) -> str:
+    return f"error: {str(problem).splitlines()[0] if str(problem) else type(problem).__name__}"
+
+
 def target_of(use_case: str) -> str:
     return TARGETS.get(use_case, OTHER_TARGET)
 
@@ -141,7 +148,8 @@ def discover(
     """Run all stages and return their tables by name.
 
     A stage that fails leaves its tables empty and its error in ``run_status``;
-    the others still run. With ``multi_source`` the given tables count as parts
+    the others still run. The results stay if report files cannot be
+    written, which ``run_status`` then tells as stage ``files``. With ``multi_source`` the given tables count as parts
     of one dataset ``combined``; the target is looked for in each of them.
     """
     datasets = {"primary": datasets} if isinstance(datasets, DataFrame) else dict(datasets)
@@ -160,7 +168,7 @@ def discover(
         except Exception as problem:  # noqa: BLE001 - any failure is recorded, the run goes on
             for table in STAGE_TABLES[name]:
                 results[table] = spark.createDataFrame([], EMPTY[table])
-            status = f"error: {str(problem).splitlines()[0] if str(problem) else type(problem).__name__}"
+            status = _error(problem)
         states.extend((n, list(STAGE_TABLES).index(name) + 1, name, status) for n in names)
 
     def profile_stage():
@@ -218,7 +226,12 @@ def discover(
         if not full.head(1):
             full = report.minimal_markdown(_basics(uses, results), status, when)
         stamp = when.replace("-", "").replace(":", "").replace("T", "_").rstrip("Z")
-        results["output_paths"] = save_reports(uses, dict(results), full, output, stamp)
+        try:
+            results["output_paths"] = save_reports(uses, dict(results), full, output, stamp)
+        except Exception as problem:  # noqa: BLE001 - files that cannot be written leave the results intact
+            results["output_paths"] = spark.createDataFrame([], PATHS)
+            states.extend((n, len(STAGE_TABLES) + 1, "files", _error(problem)) for n in names)
+            results["run_status"] = local_table(spark, states, "dataset string, seq int, stage string, status string")
     return results
 
 

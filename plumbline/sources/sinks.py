@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.functions.text import gather
+
 KEY = ["dataset", "use_case"]
+# Columns that put the rows of a table in order, where it has them.
+ORDER = ("tier_no", "section", "seq", "rank", "position", "req_no", "column", "feature", "kind")
 
 
 def nested_json(uses: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -16,7 +20,8 @@ def nested_json(uses: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     for name, table in tables.items():
         key = [c for c in KEY if c in table.columns]
         rest = [c for c in table.columns if c not in key]
-        grouped = table.groupBy(*key).agg(F.collect_list(F.struct(*rest)).alias(name))
+        order = [c for c in ORDER if c in rest] or rest[:1]
+        grouped = table.groupBy(*key).agg(gather(F.struct(*order), F.struct(*rest)).alias(name))
         out = out.join(F.broadcast(grouped), key, "left")
     document = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
     return out.select(*KEY, document.alias("json"))

@@ -10,6 +10,7 @@ from plumbline.functions import catalog
 from plumbline.functions.fields import local_table
 from plumbline.operators import models, report
 from plumbline.plans import discover as plan
+from plumbline.sources.sinks import nested_json
 
 TRAITS = (
     "dataset string, use_case string, n_rows long, data_size string, class_balance string, "
@@ -105,6 +106,24 @@ def test_failing_stages_leave_the_others(spark, monkeypatch, tmp_path):
     assert "- Rows: N/A" in text and "- profile: error: out of reach" in text and "- Score: 0.0/100" in text
 
 
+def test_files_that_cannot_be_written_leave_the_results(spark, tmp_path):
+    (tmp_path / "out").write_text("a file where the folder should be")
+    df = spark.range(30).selectExpr("id % 2 AS churn", "sin(id) AS x")
+    found = discover(df, "churn_prediction", output=str(tmp_path / "out"), generated_at="2024-01-01T00:00:00Z", trees=5, mi="binned")
+    status = {r.stage: r.status for r in found["run_status"].collect()}
+    assert status.pop("files").startswith("error: ")
+    assert set(status.values()) == {"success"}
+    assert found["report"].count() == 1 and found["output_paths"].count() == 0
+
+
+def test_lists_in_files_are_in_order(spark):
+    rows = [("d", "u", i, f"t{i}") for i in (3, 1, 10, 2)]
+    table = spark.createDataFrame(rows, "dataset string, use_case string, seq int, text string").repartition(4)
+    uses = spark.createDataFrame([("d", "u")], "dataset string, use_case string")
+    made = json.loads(nested_json(uses, {"recommendations": table}).first().json)
+    assert [r["seq"] for r in made["recommendations"]] == [1, 2, 3, 10]
+
+
 def test_several_sources_run(spark):
     found = discover(
         {"crm": spark.range(40).selectExpr("id AS customer_id", "id % 2 AS is_fraud", "sin(id) AS x"),
