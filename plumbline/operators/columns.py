@@ -36,6 +36,14 @@ RECOUNT_LIMIT = 100
 COLUMNS_PER_PASS = 8
 
 ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+# Other ways to write a day, as (pattern, shape); the first that all values of a column fit counts.
+DAY_FORMATS = [
+    ("M/d/yyyy", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("d/M/yyyy", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("yyyy/M/d", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
+    ("MMM d, yyyy", "^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+]
+LONGEST_DAY = 12
 
 
 # ---------------------------------------------------------------- one-pass sums
@@ -103,20 +111,29 @@ def size_measures(f: Field) -> dict[str, str]:
 
 
 def text_measures(f: Field) -> dict[str, str]:
-    parsed = f"try_cast({f.sql} AS timestamp_ntz)"
-    like = f"({f.sql} RLIKE '{ISO_DATE}' AND {parsed} IS NOT NULL)"
-    if f.kind == "string":
-        length = f"avg(length({f.sql}))"
-        all_like = f"coalesce(bool_and(CASE WHEN {f.sql} IS NOT NULL THEN {like} END), false)"
-        instant = f"CASE WHEN {like} THEN {parsed} END"
-    else:
-        length, all_like = "CAST(NULL AS DOUBLE)", "false"
+    if f.kind != "string":
         instant = f"CAST({f.sql if f.kind == 'instant' else 'NULL'} AS timestamp_ntz)"
+        return {
+            "avg_length": "CAST(NULL AS DOUBLE)",
+            "date_like": "false",
+            "date_min": f"CAST(min({instant}) AS STRING)",
+            "date_max": f"CAST(max({instant}) AS STRING)",
+        }
+    read = [f"CASE WHEN {f.sql} RLIKE '{ISO_DATE}' THEN try_cast({f.sql} AS timestamp_ntz) END"]
+    for pattern, shape in DAY_FORMATS:  # long texts are told by their length alone
+        fits = f"octet_length({f.sql}) <= {LONGEST_DAY} AND {f.sql} RLIKE '{shape}'"
+        read.append(f"CASE WHEN {fits} THEN CAST(try_to_timestamp({f.sql}, '{pattern}') AS timestamp_ntz) END")
+    every = [f"count({f.sql}) > 0 AND count({r}) = count({f.sql})" for r in read]
+
+    def of_first(aggregate: str) -> str:
+        whens = " ".join(f"WHEN {e} THEN {aggregate}({r})" for e, r in zip(every, read))
+        return f"CAST(CASE {whens} ELSE {aggregate}({read[0]}) END AS STRING)"
+
     return {
-        "avg_length": length,
-        "date_like": all_like,
-        "date_min": f"CAST(min({instant}) AS STRING)",
-        "date_max": f"CAST(max({instant}) AS STRING)",
+        "avg_length": f"avg(length({f.sql}))",
+        "date_like": " OR ".join(f"({e})" for e in every),
+        "date_min": of_first("min"),
+        "date_max": of_first("max"),
     }
 
 

@@ -72,15 +72,18 @@ def label_encode(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame
              F.sum("n").alias("values"))
         .collect()
     }
+    small = {i: s.rows <= BROADCAST_ROWS and s.bytes <= BROADCAST_BYTES for i, s in sizes.items()}
     out = df
+    if not all(small.values()):
+        # a number per row, fixed by the checkpoint, so that equal rows can be spread
+        out = freeze(df.withColumn("_row", F.monotonically_increasing_id()))
     for f in words:
         size = sizes.get(f.id)
         if size is None:  # nothing but NULL
             out = out.withColumn(f.name, F.lit(None).cast("long"))
         else:
             mine = codes.where(F.col("id") == f.id).select("value", "n", "code")
-            small = size.rows <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES
-            out = _look_up(out, f, mine, small, size["values"] / HOT_SHARE)
+            out = _look_up(out, f, mine, small[f.id], size["values"] / HOT_SHARE)
     return out.select(*[column(c) for c in df.columns])
 
 
@@ -88,8 +91,9 @@ def _look_up(df: DataFrame, f: Field, codes: DataFrame, small: bool, hot_from: f
     """Join one column with its dictionary.
 
     A large dictionary is split: values that fill many rows are few, so they are
-    broadcast, and only rows with rare values are shuffled. The other rows get a
-    spread key that matches nothing, so they do not meet in one task.
+    broadcast, and rows with rare values meet theirs in a shuffle. The other rows get
+    a key drawn from their row number that matches nothing, so they do not meet in
+    one task, not even if they are all equal.
     """
     if small:
         known = F.broadcast(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")))
@@ -100,7 +104,7 @@ def _look_up(df: DataFrame, f: Field, codes: DataFrame, small: bool, hot_from: f
     hot = F.broadcast(hot.select(F.col("value").alias("_hot"), F.col("code").alias("_hot_code")))
     cold = cold.select(F.col("value").alias("_value"), F.lit(0).alias("_spread"), F.col("code").alias("_code"))
     rare = f.col.isNotNull() & F.col("_hot_code").isNull()
-    spread = 1 + F.pmod(F.xxhash64(*[column(c) for c in df.columns]), F.lit(HOT_SHARE)).cast("int")
+    spread = 1 + F.pmod(F.xxhash64("_row"), F.lit(HOT_SHARE)).cast("int")
     first = df.join(hot, f.col == F.col("_hot"), "left").withColumns(
         {"_key": F.when(rare, f.col), "_part": F.when(rare, 0).otherwise(spread)}
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions import catalog
 from plumbline.functions.fields import Datasets, local_table, small_table, union_all
@@ -28,6 +28,9 @@ EMPTY = {
     "n_duplicate_rows long, overall_null_pct double",
     "warnings": "dataset string, seq int, column string, kind string, message string",
     "type_distribution": "dataset string, inferred_type string, n_columns long",
+    "schema_coverage": "dataset string, column string, status string, n_values long",
+    "coverage_summary": "dataset string, expected_columns long, present_columns long, "
+    "missing_columns long, extra_columns long, coverage_pct double",
     "feature_correlation": "dataset string, feature string, pearson_r double, abs_r double",
     "feature_pairs": "dataset string, feature_a string, feature_b string, correlation double",
     "feature_mi": "dataset string, feature string, mi_score double, rank int",
@@ -60,7 +63,8 @@ EMPTY = {
 }
 
 STAGE_TABLES = {
-    "profile": ("column_profile", "dataset_profile", "warnings", "type_distribution"),
+    "profile": ("column_profile", "dataset_profile", "warnings", "type_distribution",
+                "schema_coverage", "coverage_summary"),
     "readiness": ("requirement_match", "readiness_tier", "readiness", "field_lists", "recommendations", "risks"),
     "features": ("feature_correlation", "feature_pairs", "feature_mi", "feature_importance",
                  "transform_advice", "feature_summary", "feature_warnings"),
@@ -138,6 +142,7 @@ def discover(
     target: str | None = None,
     multi_source: bool = False,
     requirements: DataFrame | None = None,
+    expected: dict[str, list[str]] | None = None,
     output: str | None = None,
     generated_at: str | None = None,
     mode: str = "exact",
@@ -147,10 +152,13 @@ def discover(
 ) -> dict[str, DataFrame]:
     """Run all stages and return their tables by name.
 
-    A stage that fails leaves its tables empty and its error in ``run_status``;
-    the others still run. The results stay if report files cannot be
-    written, which ``run_status`` then tells as stage ``files``. With ``multi_source`` the given tables count as parts
-    of one dataset ``combined``; the target is looked for in each of them.
+    A stage that fails for a dataset leaves nothing of it in that stage's tables
+    and its error in ``run_status``; other datasets and stages still run. The
+    results stay if report files cannot be written, which ``run_status`` then
+    tells as stage ``files``. With ``multi_source`` the given tables count as parts
+    of one dataset ``combined``; the target is looked for in each of them, and
+    features are ranked over all. ``expected`` names the columns each dataset
+    should have; only datasets named there have a schema coverage.
     """
     datasets = {"primary": datasets} if isinstance(datasets, DataFrame) else dict(datasets)
     spark = next(iter(datasets.values())).sparkSession
@@ -161,51 +169,76 @@ def discover(
     results: dict[str, DataFrame] = {}
     states: list[tuple[str, int, str, str]] = []
 
-    def stage(name: str, work: Callable[[], dict[str, DataFrame]]) -> None:
-        try:
-            results.update({k: small_table(v) for k, v in work().items()})
-            status = "success"
-        except Exception as problem:  # noqa: BLE001 - any failure is recorded, the run goes on
-            for table in STAGE_TABLES[name]:
-                results[table] = spark.createDataFrame([], EMPTY[table])
-            status = _error(problem)
-        states.extend((n, list(STAGE_TABLES).index(name) + 1, name, status) for n in names)
-
-    def profile_stage():
+    def stage(name: str, work: Callable[[list[str]], dict[str, DataFrame]]) -> None:
+        """Work on all datasets at once; if that fails, on each alone."""
+        parts: list[dict[str, DataFrame]] = []
+        errors: dict[str, str] = {}
+        groups = [names]
+        while groups:
+            group = groups.pop(0)
+            try:
+                parts.append({k: small_table(v) for k, v in work(group).items()})
+            except Exception as problem:  # noqa: BLE001 - any failure is recorded, the run goes on
+                if len(group) > 1:
+                    groups = [[n] for n in group]
+                else:
+                    errors[group[0]] = _error(problem)
+        for table in {**dict.fromkeys(STAGE_TABLES[name]), **(parts[0] if parts else {})}:
+            made = [p[table] for p in parts if table in p]
+            results[table] = union_all(made) if made else spark.createDataFrame([], EMPTY[table])
+        states.extend((n, list(STAGE_TABLES).index(name) + 1, name, errors.get(n, "success")) for n in names)
+
+    def of(group: list[str], table: str) -> DataFrame:
+        return results[table].where(F.col("dataset").isin(group))
+
+    def profile_stage(group):
         if multi_source:
-            return profiles.profile_sources(datasets, "combined", mode)
-        return profiles.profile(datasets, mode)
+            found = profiles.profile_sources(datasets, "combined", mode)
+        else:
+            found = profiles.profile({n: datasets[n] for n in group}, mode)
+        wanted = [("combined" if multi_source else n, c) for n, cs in (expected or {}).items() for c in cs]
+        if wanted:
+            rows = local_table(spark, [w for w in wanted if w[0] in group], "dataset string, column string")
+            found["schema_coverage"] = small_table(profiles.schema_coverage(found["column_profile"], rows))
+            found["coverage_summary"] = profiles.coverage_summary(found["schema_coverage"])
+        return found
 
-    def readiness_stage():
+    def readiness_stage(group):
         catalogue = requirements if requirements is not None else catalog.requirements(spark)
-        return readiness.readiness(results["column_profile"], results["dataset_profile"], uses, catalogue)
+        return readiness.readiness(
+            of(group, "column_profile"), of(group, "dataset_profile"), uses.where(F.col("dataset").isin(group)), catalogue
+        )
 
-    def feature_stage():
+    def feature_stage(group):
         found = [
             analyse_features(df, target, task, "combined" if multi_source else n, mi, trees, rows_per_task)
             for n, df in datasets.items()
+            if multi_source or n in group
         ]
-        return {k: union_all([f[k] for f in found]) for k in STAGE_TABLES["features"]}
+        tables = {k: union_all([f[k] for f in found]) for k in STAGE_TABLES["features"]}
+        for table, score in (("feature_mi", "mi_score"), ("feature_importance", "importance")):
+            best = Window.partitionBy("dataset").orderBy(F.desc(score), "feature")  # a row per feature
+            tables[table] = tables[table].withColumn("rank", F.row_number().over(best))
+        return tables
 
-    def pair_counts():
-        return results["feature_pairs"].groupBy("dataset").agg(F.count(F.lit(1)).alias("n_high_corr_pairs"))
+    def pair_counts(group):
+        return of(group, "feature_pairs").groupBy("dataset").agg(F.count(F.lit(1)).alias("n_high_corr_pairs"))
 
-    def model_stage():
+    def model_stage(group):
         return models.recommend(
-            results["column_profile"], results["dataset_profile"], results["readiness"],
-            pair_counts(), catalog.models(spark), task,
+            of(group, "column_profile"), of(group, "dataset_profile"), of(group, "readiness"),
+            pair_counts(group), catalog.models(spark), task,
         )
 
-    def facts():
-        return report.report_facts(
-            results["dataset_profile"], results["warnings"], results["type_distribution"],
-            {k: results[k] for k in STAGE_TABLES["readiness"]},
-            {k: results[k] for k in STAGE_TABLES["models"]},
-            results["feature_importance"], pair_counts(), results["transform_advice"],
+    def report_stage(group):
+        known = small_table(
+            report.report_facts(
+                of(group, "dataset_profile"), of(group, "warnings"), of(group, "type_distribution"),
+                {k: of(group, k) for k in STAGE_TABLES["readiness"]},
+                {k: of(group, k) for k in STAGE_TABLES["models"]},
+                of(group, "feature_importance"), pair_counts(group), of(group, "transform_advice"),
+            )
         )
-
-    def report_stage():
-        known = small_table(facts())
         texts = report.summary(known).join(F.broadcast(report.markdown(known)), report.KEY)
         return {
             "report": texts.join(F.broadcast(report.prompts(known, task)), report.KEY),

@@ -32,14 +32,21 @@ FIELDS = {
     "lineitem_holes": "l_quantity d, l_extendedprice d, l_discount d, l_tax d, l_linenumber i, l_returnflag s, "
     "l_linestatus s, l_shipdate day",
     "lineitem_flags": "l_returnflag s, l_linestatus s",
-    "orders_text_dates": "o_orderkey l, o_orderdate s, o_comment s, o_orderpriority s",
+    "orders_text_dates": "o_orderkey l, o_orderdate s, o_day_first s, o_month_name s, o_comment s, o_orderpriority s",
     "documents_text": "text s",
+    "events_infinite": "event_id l, value d",
     "returns": "target i, l_quantity d, l_extendedprice d, l_discount d, l_tax d, l_linenumber i, net_price d, "
     "big_discount d, always i, l_linestatus s",
     "prices": "target d, o_custkey l, o_orderstatus s, o_orderpriority s, half_price d",
 }
+FIELDS["combined"] = ", ".join(FIELDS[s] for s in SOURCES)
 KINDS = {"i": "integer", "l": "integer", "d": "real", "s": "string", "t": "instant", "day": "instant", "a": "other"}
 DTYPES = {"i": "int", "l": "bigint", "d": "double", "s": "string", "t": "timestamp_ntz", "day": "date", "a": "array<float>"}
+# Days other than ISO ones, in the order they are tried.
+DAYS = [
+    ("%m/%d/%Y", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), ("%d/%m/%Y", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
+    ("%Y/%m/%d", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), ("%b %d, %Y", "^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+]
 WIDTHS = {"i": 4, "l": 8, "d": 8, "t": 8, "day": 4}
 
 
@@ -102,12 +109,13 @@ def _facts(name, position, c, t):
     if t in "ts" or t == "day":
         unique = "count(DISTINCT x) AS n_unique"
         if t == "s":
-            stamp = "TRY_CAST(x AS TIMESTAMP)"
-            like = f"(regexp_matches(x, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND {stamp} IS NOT NULL)"
+            stamps = ["CASE WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS TIMESTAMP) END"]
+            stamps += [f"CASE WHEN regexp_matches(x, {quote(shape)}) THEN try_strptime(x, {quote(fmt)}) END" for fmt, shape in DAYS]
+            fits = [f"(count(x) > 0 AND count({s}) = count(x))" for s in stamps]
+            first = lambda f: f"CAST(CASE {' '.join(f'WHEN {a} THEN {f}({s})' for a, s in zip(fits, stamps))} ELSE {f}({stamps[0]}) END AS VARCHAR)"
             words = (
-                f"avg(length(x)) AS avg_length, coalesce(bool_and({like}), FALSE) AS date_like, "
-                f"CAST(min(CASE WHEN {like} THEN {stamp} END) AS VARCHAR) AS date_min, "
-                f"CAST(max(CASE WHEN {like} THEN {stamp} END) AS VARCHAR) AS date_max, "
+                f"avg(length(x)) AS avg_length, ({' OR '.join(fits)}) AS date_like, "
+                f"{first('min')} AS date_min, {first('max')} AS date_max, "
                 "coalesce(sum(strlen(x)), 0)::BIGINT AS n_bytes"
             )
         else:
@@ -184,16 +192,12 @@ def profile_ctes(names, only=None):
     )
 
 
-def top_lists(names, skip=("text", "html"), extra=("quality", "toxic"), only=None):
-    """Ten most frequent values of text columns and of the named others."""
+def top_lists(names):
+    """Ten most frequent values of text and whole-number columns."""
     parts = []
     for name in names:
         for position, (c, t) in enumerate(fields(name)):
-            if only is not None:
-                take = only(c, t)
-            else:
-                take = (t == "s" and c not in skip) or c in extra
-            if take:
+            if t in "sil":
                 parts.append(
                     f"SELECT * FROM (SELECT {quote(name)} AS dataset, {position} AS position, {quote(c)} AS \"column\", "
                     f"row_number() OVER (ORDER BY n DESC, x)::INTEGER AS rank, x::VARCHAR AS value, n "
@@ -681,7 +685,7 @@ drawn AS (SELECT id, (18 + floor({uniform('churn', 0)} * 57))::INTEGER AS age, (
   round(20.0::DOUBLE + {uniform('churn', 2)} * 100.0::DOUBLE, 2) AS monthly_charge, {uniform('churn', 3)} AS u_total,
   (1 + floor({uniform('churn', 4)} * 5))::INTEGER AS num_products, floor({uniform('churn', 5)} * 15)::INTEGER AS support_calls,
   {uniform('churn', 6)} AS u_churn, {uniform('churn', 7)} AS u_null FROM ids),
-ranked AS (SELECT *, row_number() OVER (ORDER BY u_null) AS place, count(*) OVER () AS n FROM drawn)
+ranked AS (SELECT *, row_number() OVER (ORDER BY u_null, id) AS place, count(*) OVER () AS n FROM drawn)
 SELECT printf('CUST-%05d', id) AS customer_id, age, tenure_months, monthly_charge,
   CASE WHEN place > floor(n * 0.02) THEN round(monthly_charge * tenure_months * (0.9::DOUBLE + u_total * 0.2::DOUBLE), 2) END AS total_charges,
   num_products, support_calls,
@@ -739,6 +743,11 @@ def both(names, select):
     return f"WITH facts AS ({column_facts(names)}), typed AS ({TYPED_COLUMNS}) {select}"
 
 
+LISTS = (
+    f"SELECT l.* FROM ({top_lists(LISTED)}) l SEMI JOIN (SELECT * FROM typed WHERE inferred_type IN "
+    "('boolean', 'categorical_low', 'categorical_high')) t "
+    'ON t.dataset = l.dataset AND t."column" = l."column"'
+)
 FENCED = ["lineitem", "orders", "events_holes", "documents"]
 COVERED = union(
     [
@@ -766,19 +775,27 @@ ORACLES = {
     "profile_quartiles": stats(FENCED,
         "round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(q3 - q1, 6) AS iqr, "
         "round(q1 - 1.5 * (q3 - q1), 6) AS lower_fence, round(q3 + 1.5 * (q3 - q1), 6) AS upper_fence"),
+    "profile_infinite": f"""WITH e AS {source('events_infinite')},
+        q AS (SELECT quantile_cont(spoilt, 0.25) AS q1, quantile_cont(spoilt, 0.5) AS median, quantile_cont(spoilt, 0.75) AS q3 FROM e)
+        SELECT "column", n_total, mn AS min, mx AS max, round(median, 4) AS median, round(q1, 4) AS q1, round(q3, 4) AS q3,
+          n_out AS n_outliers, round(mean, 4) AS mean, round(std, 4) AS std, round(skewness, 4) AS skewness
+        FROM ({column_facts(['events_infinite'])})
+        UNION ALL SELECT 'spoilt', count(*), min(spoilt), max(spoilt), round(any_value(median), 4), round(any_value(q1), 4), round(any_value(q3), 4),
+          count(*) FILTER (spoilt < q1 - 1.5 * (q3 - q1) OR spoilt > q3 + 1.5 * (q3 - q1)), 'Infinity'::DOUBLE, NULL, NULL FROM e, q""",
     "outliers_iqr": stats(FENCED, "n_out AS n_outliers, round(100.0 * n_out / (n_total - n_null), 2) AS pct_outliers"),
-    "top_values": f'SELECT dataset, "column", rank, value, n FROM ({top_lists(LISTED)})',
-    "column_mode": f'SELECT dataset, "column", value AS mode FROM ({top_lists(LISTED)}) WHERE rank = 1',
+    "top_values": both(LISTED, f'SELECT dataset, "column", rank, value, n FROM ({LISTS})'),
+    "column_mode": both(LISTED, f'SELECT dataset, "column", value AS mode FROM ({LISTS}) WHERE rank = 1'),
     "date_range": f"""WITH facts AS ({column_facts(['orders', 'events_holes', 'lineitem_holes', 'orders_text_dates'],
-        lambda c, t: c in ('o_orderdate', 'ts', 'l_shipdate'))}) SELECT dataset, "column", date_min, date_max FROM facts""",
+        lambda c, t: c in ('o_orderdate', 'o_day_first', 'o_month_name', 'ts', 'l_shipdate'))}) SELECT dataset, "column", date_min, date_max FROM facts""",
     "column_profile": f"""{profile_ctes(['orders', 'events_holes', 'labels'])},
-        tops AS ({top_lists(['orders', 'events_holes', 'labels'], only=lambda c, t: t == 's' or c in ('quality', 'toxic'))})
+        tops AS ({top_lists(['orders', 'events_holes', 'labels'])})
         SELECT p.dataset, p.position, p."column", dtype, inferred_type, n_total, n_null, null_pct, n_unique, unique_ratio,
         CASE WHEN is_num THEN round(mn, 4) END AS min, CASE WHEN is_num THEN round(mx, 4) END AS max,
         CASE WHEN is_num THEN round(mean, 4) END AS mean, CASE WHEN is_num THEN round(median, 4) END AS median,
         CASE WHEN is_num THEN round(std, 4) END AS std, CASE WHEN is_num THEN round(skewness, 4) END AS skewness,
         CASE WHEN is_num THEN round(kurtosis, 4) END AS kurtosis, CASE WHEN is_num THEN round(q1, 4) END AS q1,
-        CASE WHEN is_num THEN round(q3, 4) END AS q3, n_outliers, pct_outliers, t.value AS mode,
+        CASE WHEN is_num THEN round(q3, 4) END AS q3, n_outliers, pct_outliers,
+        CASE WHEN inferred_type IN ('boolean', 'categorical_low', 'categorical_high') THEN t.value END AS mode,
         CASE WHEN inferred_type = 'datetime' THEN date_min END AS date_min, CASE WHEN inferred_type = 'datetime' THEN date_max END AS date_max
         FROM profiled p LEFT JOIN tops t ON t.dataset = p.dataset AND t.position = p.position AND t.rank = 1""",
     "dataset_summary": f"""{profile_ctes(['events_holes', 'lineitem_holes', 'documents', 'embeddings'])}
@@ -857,12 +874,27 @@ ORACLES = {
         count(*) FILTER (l_returnflag <> 'A') AS n_quantity, round(sum(l_quantity) FILTER (l_returnflag <> 'A'), 2) AS sum_quantity,
         count(*) FILTER (l_tax <> 0) AS n_tax, max(l_orderkey) AS max_orderkey FROM lineitem GROUP BY 1""",
     "scan_roundtrip_json": "SELECT p_brand, p_name, p_partkey, p_retailprice, p_size::BIGINT AS p_size, p_type FROM part",
+    "scan_csv_quoted": "SELECT doc_id, '\"' || text || '\"' || chr(10) || ',' || source AS text, n_chars FROM documents",
+    "scan_json_mixed": "SELECT p_brand, p_name, p_partkey, p_retailprice, p_size::BIGINT AS p_size, p_type FROM part",
     "scan_json_array": "SELECT s_acctbal, s_name, s_nationkey::BIGINT AS s_nationkey, s_suppkey FROM supplier",
     "scan_roundtrip_parquet": "SELECT * FROM orders",
     "scan_roundtrip_xlsx": "SELECT * FROM customer",
     "sample_churn": CHURN,
     "sample_fraud": FRAUD,
     "sample_sales": SALES,
+    "discover_sources": f"""WITH facts0 AS ({column_facts(SOURCES)}), facts AS (SELECT * REPLACE ('combined' AS dataset) FROM facts0),
+        typed AS ({TYPED_COLUMNS}), profiled AS ({PROFILED}), dup AS ({duplicates(SOURCES)}),
+        totals AS (SELECT 'combined' AS dataset, (SELECT sum(n) FROM (SELECT max(n_total) AS n FROM facts0 GROUP BY dataset)) AS n_rows,
+          round(100.0 * sum(n_null) / sum(n_total), 2) AS overall_null_pct, (SELECT sum(n_duplicate_rows) FROM dup) AS n_duplicate_rows FROM facts0),
+        {match_ctes(['combined'], ['fraud_detection'])}, penalty0 AS ({PENALTY}), {SCORES}
+        SELECT dataset, use_case, raw_score, quality_penalty, score, band FROM banded""",
+    "feature_tables": f"""WITH {RETURNS_NUMBERS}, {PAIRS}, {advice_ctes(['returns'])},
+        n AS (SELECT least(count(*), 20) AS kept, count(*) AS n_all FROM typed WHERE "column" <> 'target')
+        SELECT 'feature_correlation' AS "table", n_all AS n_rows FROM n UNION ALL SELECT 'feature_mi', kept FROM n
+        UNION ALL SELECT 'feature_importance', kept FROM n UNION ALL SELECT 'feature_summary', 1
+        UNION ALL SELECT 'feature_warnings', count(*) FROM typed WHERE nn = 0
+        UNION ALL SELECT 'feature_pairs', count(*) FROM pairs WHERE abs(r) >= 0.85
+        UNION ALL SELECT 'transform_advice', (SELECT count(*) FROM advice1 WHERE len(suggestions) > 0) + (SELECT count(*) FROM advice2)""",
     "discover_stages": """SELECT 'primary' AS dataset, seq::INTEGER AS seq, stage, 'success' AS status, 7 AS n_features, 0::BIGINT AS n_pairs
         FROM (VALUES (1, 'profile'), (2, 'readiness'), (3, 'features'), (4, 'models'), (5, 'report')) v(seq, stage)""",
 }

@@ -39,9 +39,16 @@ DERIVED = {
     "lineitem_flags": "SELECT l_returnflag, l_linestatus FROM lineitem",
     "orders_text_dates": (
         "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) AS o_orderdate, "
+        "concat(lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0'), '/', "
+        "lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0'), '/', CAST(year(o_orderdate) AS VARCHAR(4))) AS o_day_first, "
+        "concat(substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INT), 3), ' ', "
+        "CAST(day(o_orderdate) AS VARCHAR(2)), ', ', CAST(year(o_orderdate) AS VARCHAR(4))) AS o_month_name, "
         "CAST(NULL AS VARCHAR(10)) AS o_comment, o_orderpriority FROM orders"
     ),
     "documents_text": "SELECT text FROM documents",
+    "events_infinite": (
+        "SELECT event_id, value, CASE WHEN event_type = 'error' THEN CAST('Infinity' AS DOUBLE) ELSE value END AS spoilt FROM events"
+    ),
     "returns": (
         "SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS target, l_quantity, l_extendedprice, "
         "l_discount, l_tax, l_linenumber, l_extendedprice * (1 - l_discount) AS net_price, "
@@ -69,6 +76,7 @@ OWN_REQUIREMENTS = {
     }
 }
 GENERATED_AT = "2024-01-01T00:00:00Z"
+RECORDS_PER_ARRAY = 1000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -141,6 +149,13 @@ def profile_numeric(spark, folder):
     return rounded(out, min=4, max=4, mean=4, median=4, std=4, skewness=4, kurtosis=4)
 
 
+def profile_infinite(spark, folder):
+    """Infinite values spoil the moments of their own column and no other."""
+    profile = cols.column_profile(tables(spark, folder, ["events_infinite"]), values=False)
+    out = profile.select("column", "n_total", "min", "max", "median", "q1", "q3", "n_outliers", "mean", "std", "skewness")
+    return rounded(out, median=4, q1=4, q3=4, mean=4, std=4, skewness=4)
+
+
 def profile_quartiles(spark, folder):
     given, fields, sums = _numbers(spark, folder, ["lineitem", "orders", "events_holes", "documents"])
     cuts = cols.quartiles(given, sums, fields)
@@ -163,13 +178,11 @@ def outliers_iqr(spark, folder):
 
 def _listed(spark, folder):
     given = clean(tables(spark, folder, ["orders", "events_holes", "documents", "labels", "part", "pages"]))
-    skipped = {"text", "html"}
-    fields = [
-        f
-        for f in fields_of(given)
-        if (f.kind == "string" and f.name not in skipped) or f.name in ("quality", "toxic")
-    ]
-    return cols.top_values(given, fields)
+    fields = [f for f in fields_of(given) if f.kind in ("integer", "string")]
+    typed = cols.typed_columns(cols.column_sums(given, fields), cols.distinct_counts(given, fields))
+    listed = typed.where(F.col("inferred_type").isin("boolean", "categorical_low", "categorical_high"))
+    ids = {r.id for r in listed.select("id").collect()}  # a row per column
+    return cols.top_values(given, [f for f in fields if f.id in ids])
 
 
 def top_values(spark, folder):
@@ -182,7 +195,7 @@ def column_mode(spark, folder):
 
 def date_range(spark, folder):
     given = clean(tables(spark, folder, ["orders", "events_holes", "lineitem_holes", "orders_text_dates"]))
-    fields = [f for f in fields_of(given) if f.name in ("o_orderdate", "ts", "l_shipdate")]
+    fields = [f for f in fields_of(given) if f.name in ("o_orderdate", "o_day_first", "o_month_name", "ts", "l_shipdate")]
     return cols.column_sums(given, fields).select("dataset", "column", "date_min", "date_max")
 
 
@@ -552,12 +565,17 @@ def run_metadata(spark, folder):
     return meta.join(totals.select("dataset", "n_rows"), "dataset")
 
 
+# the text as the inside of a JSON string that also fits between code fences
+JSON_TEXT = (
+    "translate(replace(replace(text, chr(92), concat(chr(92), chr(92))), '\"', concat(chr(92), '\"')), "
+    "concat(chr(9), chr(10), chr(13), '`'), '    ')"
+)
 REPLY = (
     "CASE role "
-    "WHEN 'user' THEN concat('Sure: {\"executive_summary\": \"', role, ' ', conv_id, '\", \"key_findings\": [\"turn ', turn, "
-    "'\", \"of ', conv_id, '\"], \"top_opportunities\": \"only one\", \"full_report\": \"r\"} Done.') "
-    "WHEN 'assistant' THEN concat('{broken', chr(10), '```json', chr(10), '{\"executive_summary\": \"fenced ', turn, "
-    "'\", \"recommended_next_steps\": [\"a\", \"b\"]}', chr(10), '```') "
+    f"WHEN 'user' THEN concat('Sure: {{\"executive_summary\": \"', {JSON_TEXT}, '\", \"key_findings\": [\"turn ', turn, "
+    f"'\", \"', {JSON_TEXT}, '\"], \"top_opportunities\": \"only one\", \"full_report\": \"r\"}} Done.') "
+    f"WHEN 'assistant' THEN concat('{{broken', chr(10), '```json', chr(10), '{{\"executive_summary\": \"fenced ', turn, "
+    f"'\", \"recommended_next_steps\": [\"', {JSON_TEXT}, '\", \"b\"]}}', chr(10), '```') "
     "ELSE replace(replace(text, '{', '('), '}', ')') END"
 )
 
@@ -615,14 +633,37 @@ def scan_roundtrip_json(spark, folder):
 
 
 def scan_json_array(spark, folder):
-    """JSON written as arrays of records, a file per supplier nation."""
-    given = table(spark, folder, "supplier")
-    arrays = given.groupBy("s_nationkey").agg(
-        F.to_json(F.collect_list(F.struct(*given.columns))).alias("value")
-    )
+    """JSON written as arrays of records, a file per batch of supplier numbers."""
     path = f"{run_folder(spark, 'scan')}.json"
-    arrays.write.partitionBy("s_nationkey").text(f"{path}/by")
-    return readers.load_json(spark, f"{path}/by", recursiveFileLookup=True)
+    _write_arrays(table(spark, folder, "supplier"), "s_suppkey", path)
+    return readers.load_json(spark, path, recursiveFileLookup=True)
+
+
+def _write_arrays(given, key, path):
+    """One file with one array per RECORDS_PER_ARRAY values of a unique key."""
+    batch = F.floor(F.col(key) / RECORDS_PER_ARRAY).alias("batch")
+    arrays = given.groupBy(batch).agg(F.to_json(F.collect_list(F.struct(*given.columns))).alias("value"))
+    arrays.write.mode("append").partitionBy("batch").text(path)
+
+
+def scan_json_mixed(spark, folder):
+    """A folder with files of lines and files of arrays: all records of both."""
+    given = table(spark, folder, "part")
+    path = f"{run_folder(spark, 'scan')}.json"
+    as_line = F.col("p_partkey") % 3 == 0
+    given.where(as_line).withColumn("batch", F.lit(-1)).write.partitionBy("batch").json(path)
+    _write_arrays(given.where(~as_line), "p_partkey", path)
+    return readers.load_json(spark, path, recursiveFileLookup=True)
+
+
+def scan_csv_quoted(spark, folder):
+    """Whole texts with doubled quotes and line breaks."""
+    path = f"{run_folder(spark, 'scan')}.csv"
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    quoted_text = F.concat(F.lit('"'), "text", F.lit('"\n,'), "source").alias("text")
+    given = table(spark, folder, "documents").select("doc_id", quoted_text, "n_chars")
+    given.write.options(header=True, escape='"', **keep).csv(path)
+    return readers.load(spark, path)
 
 
 def scan_roundtrip_parquet(spark, folder):
@@ -693,7 +734,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         profile_nulls, profile_distinct, profile_distinct_approx, profile_types, profile_numeric,
-        profile_quartiles, outliers_iqr, top_values, column_mode, date_range, column_profile,
+        profile_infinite, profile_quartiles, outliers_iqr, top_values, column_mode, date_range, column_profile,
         dataset_summary, duplicate_rows, profile_warnings, type_distribution, schema_coverage,
         coverage_summary, source_profiles, source_relationships,
         readiness_match, readiness_custom, readiness_tiers, readiness_score, readiness_bar,
@@ -705,7 +746,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         model_characteristics, model_scores, model_top3, strategy,
         report_summary, report_findings, report_markdown, report_minimal, report_files,
         prompt_render, run_metadata, response_extract,
-        scan_detect, scan_roundtrip_csv, scan_csv_missing, scan_roundtrip_json, scan_json_array,
+        scan_detect, scan_roundtrip_csv, scan_csv_missing, scan_csv_quoted, scan_roundtrip_json, scan_json_array, scan_json_mixed,
         scan_roundtrip_parquet, scan_roundtrip_xlsx, sample_churn, sample_fraud, sample_sales,
         discover_orders, discover_stages, discover_sources, feature_tables,
     )

@@ -78,12 +78,18 @@ def churn(ids: DataFrame, seed: int = 42, rows_per_task: int = ROWS_PER_TASK) ->
     numbers = drawn.select(F.lit(0).alias("id"), F.col("u_null").alias("value"))
     n = ids.count()
     n_null = int(n * NULL_SHARE)
-    limit = -1.0
+    limit, last_id = -1.0, None
     if n_null:
         wanted = {(0, 0.0): (float(n_null - 1), 0, 0.0, 1.0, n)}
         limit = select_ranks(numbers, wanted, rows_per_task)[0, 0.0]
+        # of the rows that share the last draw, only those with the smallest ids
+        below = drawn.where(F.col("u_null") < limit).count()
+        tied = drawn.where(F.col("u_null") == limit).select("id")
+        last_id = tied.orderBy("id").limit(n_null - below).agg(F.max("id").alias("id")).first().id
+    has_total = (F.col("u_null") > limit) | ((F.col("u_null") == limit) & (F.col("id") > F.lit(last_id)))
     charge = F.round(between("u_monthly", 20, 120), 2)
     shaped = drawn.select(
+        has_total.alias("has_total"),
         F.format_string("CUST-%05d", "id").alias("customer_id"),
         whole("u_age", 18, 75).alias("age"),
         whole("u_tenure", 1, 72).alias("tenure_months"),
@@ -92,7 +98,6 @@ def churn(ids: DataFrame, seed: int = 42, rows_per_task: int = ROWS_PER_TASK) ->
         whole("u_calls", 0, 15).alias("support_calls"),
         "u_total",
         "u_churn",
-        "u_null",
     )
     total = F.round(F.col("monthly_charge") * F.col("tenure_months") * between("u_total", 0.9, 1.1), 2)
     probability = clip(
@@ -106,7 +111,7 @@ def churn(ids: DataFrame, seed: int = 42, rows_per_task: int = ROWS_PER_TASK) ->
     )
     return shaped.select(
         "customer_id", "age", "tenure_months", "monthly_charge",
-        F.when(F.col("u_null") > limit, total).alias("total_charges"),
+        F.when(F.col("has_total"), total).alias("total_charges"),
         "num_products", "support_calls",
         (F.col("u_churn") < probability).cast("int").alias("churn"),
     )

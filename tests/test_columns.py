@@ -181,3 +181,21 @@ def test_top_values_are_cut_before_the_shuffle(spark):
     df = spark.range(100).selectExpr("concat('w', id % 30) AS w")
     plan = cols.top_values({"t": df})._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize(
+    "texts, least, most",
+    [
+        (["03/15/2024", "12/1/2023"], "2023-12-01 00:00:00", "2024-03-15 00:00:00"),
+        (["15/03/2024", "1/12/2023", None], "2023-12-01 00:00:00", "2024-03-15 00:00:00"),
+        (["Mar 15, 2024", "Dec 1, 2023"], "2023-12-01 00:00:00", "2024-03-15 00:00:00"),
+        (["2024/3/15"], "2024-03-15 00:00:00", "2024-03-15 00:00:00"),
+        (["15/03/2024", "Dec 1, 2023"], None, None),
+        (["31/02/2024"], None, None),
+        ([None, None], None, None),
+    ],
+)
+def test_days_in_other_spellings(spark, texts, least, most):
+    row = profile(spark.createDataFrame([(t,) for t in texts], "x string"))["x"]
+    assert (row.inferred_type == "datetime") == (least is not None)
+    assert (row.date_min, row.date_max) == (least, most)

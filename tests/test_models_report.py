@@ -106,6 +106,32 @@ def test_failing_stages_leave_the_others(spark, monkeypatch, tmp_path):
     assert "- Rows: N/A" in text and "- profile: error: out of reach" in text and "- Score: 0.0/100" in text
 
 
+def test_a_bad_dataset_leaves_the_others(spark):
+    good = spark.range(30).selectExpr("id % 2 AS churn", "sin(id) AS x")
+    bad = good.selectExpr("churn", "CAST(raise_error('unreadable') AS DOUBLE) AS x")
+    found = discover({"good": good, "bad": bad}, trees=5, mi="binned", generated_at="2024-01-01T00:00:00Z")
+    status = {(r.dataset, r.stage): r.status for r in found["run_status"].collect()}
+    assert {s for (d, _), s in status.items() if d == "good"} == {"success"}
+    assert status["bad", "profile"].startswith("error: ") and status["bad", "features"].startswith("error: ")
+    for table in ("column_profile", "feature_importance"):
+        assert {r.dataset for r in found[table].collect()} == {"good"}
+
+
+def test_expected_columns_are_compared(spark):
+    df = spark.range(30).selectExpr("id % 2 AS churn", "sin(id) AS x")
+    found = discover({"a": df, "b": df}, trees=5, mi="binned", generated_at="2024-01-01T00:00:00Z", expected={"a": ["churn", "age"]})
+    status = {(r.dataset, r.column): r.status for r in found["schema_coverage"].collect()}
+    assert status == {("a", "churn"): "present", ("a", "age"): "missing", ("a", "x"): "extra"}
+    assert [(r.dataset, r.coverage_pct) for r in found["coverage_summary"].collect()] == [("a", 50.0)]
+
+
+def test_features_of_several_sources_share_one_ranking(spark):
+    one = spark.range(40).selectExpr("id % 2 AS is_fraud", "sin(id) AS x", "id % 2 + id / 100 AS y")
+    two = spark.range(40).selectExpr("id % 2 AS is_fraud", "cos(id) AS z")
+    found = discover({"a": one, "b": two}, "fraud_detection", multi_source=True, trees=5, mi="binned", generated_at="2024-01-01T00:00:00Z")
+    assert sorted(r["rank"] for r in found["feature_importance"].collect()) == [1, 2, 3]
+
+
 def test_files_that_cannot_be_written_leave_the_results(spark, tmp_path):
     (tmp_path / "out").write_text("a file where the folder should be")
     df = spark.range(30).selectExpr("id % 2 AS churn", "sin(id) AS x")

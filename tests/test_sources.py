@@ -131,3 +131,10 @@ def test_json_folder_of_both_kinds(spark, tmp_path):
 
 def test_excel_headings():
     assert excel.headings({0: "a", 1: "a", 3: "c"}) == {0: "a", 1: "a.1", 2: "Unnamed: 2", 3: "c"}
+
+
+def test_equal_draws_still_leave_two_percent_without_total(spark, monkeypatch):
+    even = lambda ids, salt, seed, names: ids.withColumns({n: samples.F.lit(0.5) for n in names})
+    monkeypatch.setattr(samples, "uniforms", even)
+    rows = samples.churn(spark.range(1, 101).select("id")).collect()
+    assert [r.customer_id for r in rows if r.total_charges is None] == ["CUST-00001", "CUST-00002"]
