@@ -21,7 +21,7 @@ HEADLINE = [
     "target_correlation", "high_correlation_pairs", "mutual_information_binned",
     "mutual_information_knn", "forest_importance", "transform_advice_numeric",
     "model_top3", "report_markdown", "response_extract", "sample_churn", "sample_sales",
-    "discover_stages",
+    "discover_stages", "discover_orders",
 ]
 
 

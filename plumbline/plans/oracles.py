@@ -363,6 +363,7 @@ def binned_mi(name, c, table, y):
 
 MI_BINNED = union([binned_mi(c, c, "returns", "target") for c in RETURNS_FEATURES])
 
+PRICE_FEATURES = [c for c, _ in fields("prices") if c != "target"]
 PRICES_CTE = (
     "prices AS (SELECT o_custkey, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS o_orderstatus, "
     "dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS o_orderpriority, half_price, target FROM "
@@ -850,6 +851,10 @@ ORACLES = {
         [binned_mi(c, c, "prices_y", "y_bin") for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "half_price")]
         ) + ") SELECT feature, round(mi_score, 5) AS mi_score, row_number() OVER (ORDER BY mi_score DESC, feature)::INTEGER AS rank FROM scored",
     "mutual_information_knn": f"WITH {knn_cte('l_extendedprice')}, {knn_cte('net_price')} {knn_mi('l_extendedprice')} UNION ALL {knn_mi('net_price')}",
+    "forest_best": f"""WITH {PRICES_CTE}, tasks AS (SELECT 'classification' AS task, * REPLACE ((target > 250000)::INTEGER::DOUBLE AS target) FROM prices
+        UNION ALL SELECT 'regression', * FROM prices),
+        told AS (SELECT task, unnest({array(PRICE_FEATURES)}) AS feature, unnest([{', '.join(f'abs(corr({c}, target))' for c in PRICE_FEATURES)}]) AS r FROM tasks GROUP BY task)
+        SELECT task, count(*) AS n_ranked, 1.0::DOUBLE AS total, arg_max(feature, r) AS best FROM told GROUP BY task""",
     "transform_advice_numeric": f"WITH {advice_ctes(ADVISED)} {unnested('advice1')}",
     "transform_advice_categorical": f"WITH {advice_ctes(ADVISED)} {unnested('advice2')}",
     "model_characteristics": f"{model_ctes()} SELECT * FROM traits",
@@ -876,6 +881,7 @@ ORACLES = {
     "scan_roundtrip_json": "SELECT p_brand, p_name, p_partkey, p_retailprice, p_size::BIGINT AS p_size, p_type FROM part",
     "scan_csv_quoted": "SELECT doc_id, '\"' || text || '\"' || chr(10) || ',' || source AS text, n_chars FROM documents",
     "scan_json_mixed": "SELECT p_brand, p_name, p_partkey, p_retailprice, p_size::BIGINT AS p_size, p_type FROM part",
+    "scan_json_columns": "SELECT c_custkey, c_name, c_acctbal FROM customer",
     "scan_json_array": "SELECT s_acctbal, s_name, s_nationkey::BIGINT AS s_nationkey, s_suppkey FROM supplier",
     "scan_roundtrip_parquet": "SELECT * FROM orders",
     "scan_roundtrip_xlsx": "SELECT * FROM customer",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions import catalog
 from plumbline.functions.fields import clean, fields_of, local_table, small_table, union_all
@@ -427,6 +427,33 @@ def forest_importance_regression(spark, folder):
     return features.forest_importance(_encoded(spark, folder, "prices"), "target", "regression")
 
 
+def forest_best(spark, folder):
+    """What holds for any good forest: all features ranked, shares of 1, the telling feature first."""
+    prices = _encoded(spark, folder, "prices")
+    dear = prices.withColumn("target", (F.col("target") > 250000).cast("double"))
+    found = [
+        features.forest_importance(table, "target", task, trees=20).agg(
+            F.lit(task).alias("task"), F.count(F.lit(1)).alias("n_ranked"),
+            F.round(F.sum("importance"), 3).alias("total"), F.min_by("feature", "rank").alias("best"),
+        )
+        for task, table in (("classification", dear), ("regression", prices))
+    ]
+    return union_all(found)
+
+
+def scan_json_columns(spark, folder):
+    """JSON by column, as data frames are often saved: {"c_name": {"0": ..., "1": ...}, ...}, a file per batch."""
+    given = table(spark, folder, "customer").withColumn("batch", F.floor(F.col("c_custkey") / RECORDS_PER_ARRAY))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("c_custkey")) - 1
+    given = given.withColumn("place", place.cast("string"))
+    names = ["c_custkey", "c_name", "c_acctbal"]
+    cells = [F.map_from_entries(F.collect_list(F.struct("place", c))).alias(c) for c in names]
+    path = f"{run_folder(spark, 'scan')}.json"
+    made = given.groupBy("batch").agg(*cells).select("batch", F.to_json(F.struct(*names)).alias("value"))
+    made.write.partitionBy("batch").text(path)
+    return readers.load_json(spark, path, recursiveFileLookup=True)
+
+
 def _advice(spark, folder, section):
     names = ["returns", "events_holes", "lineitem_holes", "part"]
     parts = [
@@ -742,11 +769,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         label_encode, label_encode_many, median_impute, encode_features, target_correlation,
         high_correlation_pairs, mutual_information_binned, mutual_information_regression,
         mutual_information_knn, mutual_information_knn_all, forest_importance,
-        forest_importance_regression, transform_advice_numeric, transform_advice_categorical,
+        forest_importance_regression, forest_best, transform_advice_numeric, transform_advice_categorical,
         model_characteristics, model_scores, model_top3, strategy,
         report_summary, report_findings, report_markdown, report_minimal, report_files,
         prompt_render, run_metadata, response_extract,
         scan_detect, scan_roundtrip_csv, scan_csv_missing, scan_csv_quoted, scan_roundtrip_json, scan_json_array, scan_json_mixed,
+        scan_json_columns,
         scan_roundtrip_parquet, scan_roundtrip_xlsx, sample_churn, sample_fraud, sample_sales,
         discover_orders, discover_stages, discover_sources, feature_tables,
     )

@@ -6,7 +6,7 @@ from functools import reduce
 from pathlib import PurePosixPath
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.functions.fields import column, quoted
 from plumbline.sources.excel import read_excel
@@ -84,12 +84,31 @@ def typed_text(text: DataFrame) -> DataFrame:
 
 
 def load_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Read JSON records: one array, one spread-out object, or one object per line.
+    """Read JSON records: one array, one spread-out object, one object per line, or columns of numbered cells.
 
     Each file is read in its own way: in a file of lines no line begins an array
-    or is a brace alone, and any other file has such a line.
+    or is a brace alone, and any other file has such a line. Objects that hold
+    nothing but columns, each an object of cells by row number, are turned into
+    rows; rows without any value are left out.
     """
-    return _read_split(spark, path, _NOT_A_RECORD, lambda r: r.options(**options), "json")
+    found = _read_split(spark, path, _NOT_A_RECORD, lambda r: r.options(**options), "json")
+    return _rows_of_columns(found) if _is_by_column(found.schema) else found
+
+
+def _is_by_column(schema: T.StructType) -> bool:
+    """Whether all columns are objects with the same row numbers as names."""
+    kinds = [f.dataType for f in schema.fields]
+    if not kinds or not all(isinstance(k, T.StructType) for k in kinds):
+        return False
+    numbers = set(kinds[0].names)
+    return bool(numbers) and all(set(k.names) == numbers for k in kinds) and all(n.isdigit() for n in numbers)
+
+
+def _rows_of_columns(table: DataFrame) -> DataFrame:
+    cells = lambda c: F.from_json(F.to_json(column(c), {"ignoreNullFields": "false"}), "map<string,string>")
+    wide = table.select(*[F.map_values(cells(c)).alias(c) for c in table.columns])
+    rows = wide.select(F.inline(F.arrays_zip(*[column(c) for c in table.columns])))
+    return typed_text(rows.toDF(*table.columns).dropna("all"))
 
 
 # A line with a quote that it does not close; a line that no file of JSON records has.

@@ -129,6 +129,13 @@ def test_json_folder_of_both_kinds(spark, tmp_path):
     assert got.columns == ["id", "x"] and sorted(r.id for r in got.collect()) == list(range(103))
 
 
+def test_json_by_column(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": {"0": 1, "1": 2, "10": null}, "b": {"0": "x", "1": null, "10": "y"}}')
+    got = readers.load_json(spark, str(tmp_path / "a.json"))
+    assert got.dtypes == [("a", "bigint"), ("b", "string")]
+    assert {tuple(r) for r in got.collect()} == {(1, "x"), (2, None), (None, "y")}
+
+
 def test_excel_headings():
     assert excel.headings({0: "a", 1: "a", 3: "c"}) == {0: "a", 1: "a.1", 2: "Unnamed: 2", 3: "c"}
 
