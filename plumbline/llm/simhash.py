@@ -194,7 +194,12 @@ def near_duplicates(
     """
     rows = keyed(docs, id_col, text_col).withColumn("mark", _marker(SHINGLE)("text")).drop("text")
     rows = stash(rows, "fingerprints")
-    nodes = components(mark_links(rows, radius))
+    return grouped(rows, mark_links(rows, radius))
+
+
+def grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (id, th, mark) with the least id of the component that ``links`` (a, b) between marks make."""
+    nodes = components(links)
     marks = rows.groupBy("mark").agg(F.min("id").alias("least"))
     marks = marks.join(nodes.withColumnRenamed("node", "mark"), "mark", "left")
     marks = stash(marks.select("mark", "least", F.coalesce("root", "mark").alias("root")), "roots")
@@ -203,13 +208,13 @@ def near_duplicates(
     return rows.join(named, "mark").select("id", "th", "mark", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each component, all columns as they are.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
+    """The row with the least id of each component that ``find`` gives, all columns as they are.
 
     Without any id the one with the least text hash stays; of rows that are equal
     in id and text, any one.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     counted = found.groupBy("component_id", "id", "th", "mark").agg(F.count(F.lit(1)).alias("n"))
     # rows without any id share the NULL component: there the fingerprint tells groups apart
     group = F.when(F.col("component_id").isNull(), F.col("mark"))
