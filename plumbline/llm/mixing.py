@@ -3,7 +3,7 @@
 A source's target gives whole passes over all its documents and a budget beyond
 them. Documents are counted by exact length; every length gives its share of the
 budget, rounded down, and what remains is fitted as a subset sum: long documents
-first, then bounded-knapsack dynamic programming over the counts that are left.
+first, then bounded-knapsack dynamic programming over documents to add and to drop.
 Which documents of a length are taken follows a seeded hash of their ids.
 """
 
@@ -22,8 +22,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 17
-# The dynamic program handles budgets up to this many words; longer ones are cut greedily first.
-PROGRAM = 1 << 16
+# Words that the dynamic program may be off the greedy choice at first, and at most (or four of the longest documents).
+PROGRAM, LARGEST = 1 << 16, 1 << 24
 # Hash slices of a (source, length) group; only the slice at the edge is sorted.
 SLICES = 4096
 
@@ -52,53 +52,74 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return rows.select("source", "key", "words", F.coalesce(target, F.col("limit").cast("double")).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, program: int = PROGRAM) -> np.ndarray:
-    """How many documents of each length to take so that their words come closest to the budget from below."""
-    taken = np.zeros(len(lengths), np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    for i in order:
-        if budget <= program:
-            break
-        taken[i] = min(counts[i], (budget - program // 2) // lengths[i])
-        budget -= int(taken[i] * lengths[i])
-    if budget <= 0:
-        return taken
-    if budget > program:  # only documents longer than the budget are left, or none
-        return taken
-    mask = (1 << (budget + 1)) - 1
-    reach, step = 1, {0: None}  # bit s: a sum of s is reached; step: with which piece
-    for i in order[::-1]:
-        left, piece = min(int(counts[i] - taken[i]), budget // int(lengths[i])), 1
-        while left > 0 and not reach >> budget & 1:
-            n = min(piece, left)
-            left, piece = left - n, piece * 2
-            fresh = (reach << (n * int(lengths[i]))) & mask & ~reach
-            reach |= fresh
-            bits = np.frombuffer(fresh.to_bytes(budget // 8 + 1, "little"), np.uint8)
-            for s in np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist():
-                step[s] = (int(i), n)
-        if reach >> budget & 1:
+def fit(
+    lengths: np.ndarray, counts: np.ndarray, budget: int, program: int = PROGRAM, start: np.ndarray | None = None
+) -> np.ndarray:
+    """How many documents of each length to take so that their words come closest to the budget from below.
+
+    From ``start`` (nothing by default, at most the budget) what fits is added, long
+    documents first; then dynamic programming over documents to add and to drop
+    looks for what is left. Sums on the way stay in a window of at least four of the
+    longest documents, which grows to LARGEST or all documents while words are left.
+    """
+    taken = np.zeros(len(lengths), np.int64) if start is None else start.copy()
+    if (counts * lengths).sum() <= budget:
+        return counts.astype(np.int64)
+    unit = int(np.gcd.reduce(lengths[counts > 0]))
+    lengths, left = lengths // unit, budget // unit - int((taken * lengths).sum()) // unit
+    for i in [i for i in np.argsort(-lengths, kind="stable") if counts[i]]:
+        more = min(int(counts[i] - taken[i]), left // int(lengths[i]))
+        taken[i] += more
+        left -= more * int(lengths[i])
+    wide = max(program, 4 * int(lengths[counts > 0].max()))
+    while left > 0:
+        full = max(int((taken * lengths).sum()), int(((counts - taken) * lengths).sum()))
+        change, gain = _exchange(lengths, counts - taken, taken, left, min(wide, full))
+        taken, left = taken + change, left - gain
+        if wide >= full or wide >= LARGEST:
             break
-    at = max(step)
-    while step[at]:
-        i, n = step[at]
-        taken[i] += n
-        at -= n * int(lengths[i])
+        wide *= 4
     return taken
 
 
+def _exchange(lengths: np.ndarray, spare: np.ndarray, taken: np.ndarray, left: int, wide: int) -> tuple[np.ndarray, int]:
+    """Documents to add (or drop, below 0) of each length whose sum is closest to ``left`` from below, and the sum."""
+    size = left + 2 * wide + 1  # bit s: a change by s - wide is reached
+    mask, reach, goal = (1 << size) - 1, 1 << wide, left + wide
+    step, pieces = np.full(size, -1, np.int32), []
+    for i in [i for i in np.argsort(lengths, kind="stable").tolist() if spare[i] or taken[i]]:
+        for sign, most in ((1, int(spare[i])), (-1, int(taken[i]))):
+            most, piece = min(most, (left + wide) // int(lengths[i])), 1
+            while most > 0 and not reach >> goal & 1:
+                n = min(piece, most)
+                most, piece = most - n, piece * 2
+                by = n * int(lengths[i])
+                fresh = (reach << by if sign > 0 else reach >> by) & mask & ~reach
+                if fresh:
+                    reach |= fresh
+                    bits = np.frombuffer(fresh.to_bytes(size // 8 + 1, "little"), np.uint8)
+                    step[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(pieces)
+                    pieces.append((i, sign * n))
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    change, gain = np.zeros(len(lengths), np.int64), at - wide
+    while step[at] >= 0:  # a sum was reached from one that an earlier piece had reached
+        i, n = pieces[step[at]]
+        change[i] += n
+        at -= n * int(lengths[i])
+    return change, gain
+
+
 def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     """Whole copies, and documents with one more, per length of one source: a row per distinct length comes in."""
     budget, words, whole = (int(group[c].iloc[0]) for c in ("budget", "words", "whole"))
     lengths, counts = group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
     share = np.minimum(np.floor(counts * (budget / words)).astype(np.int64), counts)
-    rest = budget - int((share * lengths).sum())
-    extra = share + fit(lengths, counts - share, rest) if rest > 0 else share
+    extra = fit(lengths, counts, budget, start=share)
     base = np.full(len(lengths), whole, np.int64)
     target = whole * words + budget
-    if target <= PROGRAM and (extra * lengths).sum() < budget:
-        # a small source: leaving some documents out to take others again may come closer
-        copies = fit(lengths, int(group["most"].iloc[0]) * counts, target)
+    if (extra * lengths).sum() < budget:
+        # leaving some documents out to take others again may come closer
+        copies = fit(lengths, int(group["most"].iloc[0]) * counts, target, start=whole * counts + extra)
         if (copies * lengths).sum() > whole * words + (extra * lengths).sum():
             base, extra = np.divmod(copies, counts)
     return pd.DataFrame({"key": group["key"], "size": group["size"], "base": base, "extra": extra})
