@@ -1,15 +1,17 @@
 """Find licence phrases and notices with a positional index of rare words.
 
-Each notice is a list of words with offsets. Its rarest words, by document counts
-over the whole table, are looked up in a file; each hit says where the notice would
-start, and starts that two of its rare words agree on are candidates. A candidate
-counts if the notice's key phrase stands at its place and enough other words do.
+Each notice is a list of words with offsets. Of its key phrase, which every match
+must hold, the rarest words by document counts over the whole table are looked up
+in a file; each hit says where the notice would start, and starts that they agree on
+are candidates: no match has others, whatever other words it lacks. A candidate
+counts if the whole key phrase stands at its place and enough other words do.
 DataFrame functions throughout; a file is scanned where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,8 +37,8 @@ NOTICES = {
     ),
     "mpl-2.0": ("subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 }
-# Words of a notice that are looked up, and how much of it must match.
-RARE_WORDS = 3
+# Words of a key phrase that are looked up, and how much of the notice must match.
+RARE_WORDS = 2
 LEAST_SHARE = 0.6
 
 
@@ -53,10 +55,14 @@ def document_counts(words: DataFrame, vocabulary: Sequence[str]) -> dict[str, in
     return {w: counts.get(w, 0) for w in vocabulary}
 
 
-def rare_words(notice: Sequence[str], counts: Mapping[str, int]) -> list[tuple[int, str]]:
-    """(offset, word) of the words in fewest documents, each word at its first offset."""
-    order = sorted(set(notice), key=lambda w: (counts[w], w))
-    return [(notice.index(w), w) for w in order[:RARE_WORDS]]
+def rare_words(notice: Sequence[str], phrase: Sequence[str], counts: Mapping[str, int]) -> list[tuple[int, str]]:
+    """(offset in the notice, word) of the key phrase's words in fewest documents, each at its first place there."""
+    order = sorted(set(phrase), key=lambda w: (counts[w], w))
+    return [(_key_at(notice, phrase) + phrase.index(w), w) for w in order[:RARE_WORDS]]
+
+
+def _key_at(notice: Sequence[str], phrase: Sequence[str]) -> int:
+    return next(i for i in range(len(notice)) if list(notice[i : i + len(phrase)]) == list(phrase))
 
 
 def scan_licenses(
@@ -76,7 +82,7 @@ def scan_licenses(
     texts = {label: (t.split(), p.split()) for label, (t, p) in notices.items()}
     rows = docs.select(F.struct("*").alias("row"), words_of(whole_text(text_col)).alias("words"))
     counts = document_counts(rows, sorted({w for t, _ in texts.values() for w in t}))
-    rare = {label: rare_words(t, counts) for label, (t, _) in texts.items()}
+    rare = {label: rare_words(t, p, counts) for label, (t, p) in texts.items()}
     wanted = sorted({w for r in rare.values() for _, w in r} | {p.split()[-1] for p in base})
 
     hits = F.filter(
@@ -133,8 +139,8 @@ def _starts(offset: int, word: str) -> Column:
 def _shares(notice: Sequence[str], phrase: Sequence[str], rare: Sequence[tuple[int, str]]) -> Column:
     """Share of the notice's words in place at its best verified start; 0 without one."""
     starts = [_starts(offset, word) for offset, word in rare]
-    pairs = [F.array_intersect(a, b) for i, a in enumerate(starts) for b in starts[i + 1 :]]
-    key_at = next(i for i in range(len(notice)) if list(notice[i : i + len(phrase)]) == list(phrase))
+    agreed = F.array_distinct(reduce(F.array_intersect, starts))
+    key_at = _key_at(notice, phrase)
 
     def share(start: Column) -> Column:
         matched = F.lit(0)
@@ -142,7 +148,7 @@ def _shares(notice: Sequence[str], phrase: Sequence[str], rare: Sequence[tuple[i
             matched = matched + F.coalesce((F.get(F.col("words"), start + k) == word).cast("int"), F.lit(0))
         return F.when(_stands(start + key_at, phrase), matched / len(notice)).otherwise(0.0)
 
-    best = F.coalesce(F.array_max(F.transform(F.array_distinct(F.concat(*pairs)), share)), F.lit(0.0))
+    best = F.coalesce(F.array_max(F.transform(agreed, share)), F.lit(0.0))
     return F.when(best >= LEAST_SHARE, best).otherwise(0.0)
 
 
