@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from plumbline.llm.decontaminate import op4_decontaminate
 from plumbline.llm.license_scan import op8_license_scan
 from plumbline.llm.line_runs import OP2_SQL, op2_line_dedup
+from plumbline.llm.merkle import OP12_SQL, op12_merkle_manifest
 from plumbline.llm.mixing import op9_source_mix
 from plumbline.llm.neighbours import op10_nearest
 from plumbline.llm.quality import op3_quality
@@ -49,6 +51,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_nearest": op10_nearest,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
+}
