@@ -15,6 +15,7 @@ from plumbline.llm.mixing import op9_source_mix
 from plumbline.llm.neighbours import op10_nearest
 from plumbline.llm.quality import op3_quality
 from plumbline.llm.recompression import dedup_passages
+from plumbline.llm.set_join import op11_shingle_join
 from plumbline.llm.simhash import op6_simhash
 from plumbline.llm.suffix_dedup import dedup_substrings
 from plumbline.llm.url_reputation import OP7_SQL, op7_url_filter
@@ -51,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_source_mix": op9_source_mix,
     "op10_nearest": op10_nearest,
+    "op11_shingle_join": op11_shingle_join,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_conversation_repair": op13_conversation_repair,
 }
