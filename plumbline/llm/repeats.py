@@ -140,7 +140,7 @@ def find_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, wi
         ranges = ranges.unionByName(settled)
     more = ranges.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     late = pending.join(more, same_row(pending, more), "left").select(pending["*"], "ranges")
-    late = late.mapInArrow(_last_look(method, id_type, with_text), _result_schema(id_type))
+    late = stash(late.mapInArrow(_last_look(method, id_type, with_text), _result_schema(id_type)), "late")
     return done.select(late.columns).unionByName(late)
 
 

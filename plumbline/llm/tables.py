@@ -11,15 +11,26 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.session import run_folder
 
 
+# What a Python worker is sent at a time: it makes arrays several times as large.
+BATCH_BYTES = 4 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stash(df: DataFrame, purpose: str, *parts: str) -> DataFrame:
     """Write a table to the shared folder and go on from there.
 
     Cuts the lineage like a checkpoint, in compressed Parquet: lost executors
-    do not matter afterwards, and a table used twice is computed once.
+    do not matter afterwards, and a table used twice is computed once. While it
+    is written, Python workers get batches of bounded size, or one longer row.
     """
     spark = df.sparkSession
     path = run_folder(spark, purpose)
-    df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
+    before = spark.conf.get(_BATCH_LIMIT)
+    spark.conf.set(_BATCH_LIMIT, f"{BATCH_BYTES}b")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
+    finally:
+        spark.conf.set(_BATCH_LIMIT, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
