@@ -168,6 +168,8 @@ def manifest(
     )
     # a number for each row lets even a third of equal rows be cut
     leaves = leaves.select("*", F.col("item.id").alias("id"), F.monotonically_increasing_id().alias("row"))
+    # written before bounds are sampled, so texts are hashed once
+    leaves = stash(leaves, "leaves")
     by_source = _rolled(_ranked(leaves, ["id", "node", "row"]).drop("id", "row"))
 
     first = by_source[-1].select(F.lit("").alias("group"), "node", F.col("group").alias("of"), _first_source().alias("source"))
