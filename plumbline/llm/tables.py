@@ -31,6 +31,8 @@ def stash(df: DataFrame, purpose: str, *parts: str) -> DataFrame:
         df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
     finally:
         spark.conf.set(_BATCH_LIMIT, before)
+    # shuffle files of finished steps go when the driver's JVM finds their plans unused
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
