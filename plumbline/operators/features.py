@@ -35,6 +35,7 @@ from plumbline.operators.columns import (
     spans_of,
     with_moments,
 )
+from plumbline.operators.plane import CELL_ROWS, JITTER, plane_information
 from plumbline.operators.ranks import ROWS_PER_TASK, quantiles, running_totals
 from plumbline.session import freeze
 
@@ -258,6 +259,29 @@ def mutual_information_knn(
     return top_features(scored, "mi_score", max_features)
 
 
+def mutual_information_regression(
+    table: DataFrame,
+    target: str,
+    k: int = NEIGHBOURS,
+    max_features: int = MAX_FEATURES,
+    rows_per_task: int = ROWS_PER_TASK,
+    cell_rows: int = CELL_ROWS,
+    jitter: float = JITTER,
+    row_key: str | None = None,
+) -> DataFrame:
+    """Nearest-neighbour mutual information of features with a number target, both scaled to deviation 1.
+
+    For every row: the distance to its k-th nearest row in the plane of feature
+    and target, the larger of the two axes' distances, and how many rows lie
+    closer than that along each axis alone. ``row_key`` is no feature.
+    """
+    features = [c for c in table.columns if c not in (target, row_key)]
+    if not features:
+        return _no_scores(table, "mi_score", max_features)
+    scored = plane_information(table, target, features, k, rows_per_task, cell_rows, jitter, row_key)
+    return top_features(scored, "mi_score", max_features)
+
+
 def _long_features(table, target, features, jitter):
     """(feature number, row, class, jittered value), frozen.
 

@@ -117,6 +117,8 @@ def analyse_features(
         importance = small_table(features.forest_importance(table, target, task, trees=trees))
         if task == "classification" and mi == "knn":
             scores = features.mutual_information_knn(table, target, rows_per_task=rows_per_task)
+        elif mi == "knn":
+            scores = features.mutual_information_regression(table, target, rows_per_task=rows_per_task)
         else:
             scores = features.mutual_information_binned(table, target, task, rows_per_task=rows_per_task)
         out = {

@@ -407,6 +407,32 @@ knn_{c} AS (
   FROM (SELECT *, list_sort(list_filter(steps, lambda s: s.far IS NOT NULL))[3] AS s FROM knn0_{c}))"""
 
 
+def plane_mi(table, key, columns, target, k=3):
+    """Neighbour scores of number columns with a number target, from all distances between all rows."""
+    word = lambda name, at: f"('0x' || substr(md5('jitter:{name}:' || row::VARCHAR), {at}, 8))::BIGINT::DOUBLE"
+    normal = lambda name: f"sqrt(-2.0 * ln(({word(name, 1)} + 1.0) / (2.0 ** 32 + 1.0))) * cos(2.0 * pi() * ({word(name, 9)} / 2.0 ** 32))"
+    deviation = lambda c: f"(CASE WHEN s.dev_{c} > 0 THEN s.dev_{c} ELSE 1.0 END)"
+    scaled = lambda c: f"g.{c} / {deviation(c)} + 1e-10 * greatest(1.0, abs(s.mean_{c} / {deviation(c)})) * {normal(c)}"
+    names = [*columns, target]
+    shown = ", ".join(f"({sql})::DOUBLE AS {c}" for c, sql in {**columns, target: target}.items())
+    stats = ", ".join(f"avg({c}) AS mean_{c}, stddev_pop({c}) AS dev_{c}" for c in names)
+    long = " UNION ALL ".join(f"SELECT {quote(c)} AS feature, row, {c} AS x, {target} AS y FROM jittered" for c in columns)
+    return f"""WITH given AS (SELECT {key} AS row, {shown} FROM {table}), s AS (SELECT {stats} FROM given),
+jittered AS (SELECT row, {', '.join(f'{scaled(c)} AS {c}' for c in names)} FROM given g, s),
+long AS ({long}),
+apart AS (SELECT a.feature, a.row, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, a.row <> b.row AS other
+  FROM long a JOIN long b ON a.feature = b.feature),
+reach AS (SELECT feature, row, min(greatest(dx, dy), {k}) FILTER (other) AS near FROM apart GROUP BY feature, row),
+counted AS (SELECT a.feature, a.row, count(*) FILTER (dx < r.near[{k}]) AS mx, count(*) FILTER (dy < r.near[{k}]) AS my
+  FROM apart a JOIN reach r ON r.feature = a.feature AND r.row = a.row GROUP BY a.feature, a.row),
+psi AS (SELECT n, coalesce(sum(1.0 / n) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 0.5772156649015329 AS v
+  FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM given))) AS n)),
+scored AS (SELECT feature, round(greatest((SELECT v FROM psi WHERE n = (SELECT count(*) FROM given)) + (SELECT v FROM psi WHERE n = {k})
+    - avg(px.v) - avg(py.v), 0.0), 5) AS mi_score
+  FROM counted JOIN psi px ON px.n = mx JOIN psi py ON py.n = my GROUP BY feature)
+SELECT feature, mi_score, row_number() OVER (ORDER BY mi_score DESC, feature)::INTEGER AS rank FROM scored"""
+
+
 def numeric_advice(name):
     """Suggestions per numeric column, as a list in rule order."""
     whole = [c for c, t in fields(name) if t in ("i", "l")]
@@ -851,6 +877,9 @@ ORACLES = {
         [binned_mi(c, c, "prices_y", "y_bin") for c in ("o_custkey", "o_orderstatus", "o_orderpriority", "half_price")]
         ) + ") SELECT feature, round(mi_score, 5) AS mi_score, row_number() OVER (ORDER BY mi_score DESC, feature)::INTEGER AS rank FROM scored",
     "mutual_information_knn": f"WITH {knn_cte('l_extendedprice')}, {knn_cte('net_price')} {knn_mi('l_extendedprice')} UNION ALL {knn_mi('net_price')}",
+    "mutual_information_regression_knn": plane_mi("part", "p_partkey", {
+        "p_size": "p_size", "p_brand": "dense_rank() OVER (ORDER BY p_brand) - 1", "p_type": "dense_rank() OVER (ORDER BY p_type) - 1"},
+        "p_retailprice"),
     "forest_best": f"""WITH {PRICES_CTE}, tasks AS (SELECT 'classification' AS task, * REPLACE ((target > 250000)::INTEGER::DOUBLE AS target) FROM prices
         UNION ALL SELECT 'regression', * FROM prices),
         told AS (SELECT task, unnest({array(PRICE_FEATURES)}) AS feature, unnest([{', '.join(f'abs(corr({c}, target))' for c in PRICE_FEATURES)}]) AS r FROM tasks GROUP BY task)

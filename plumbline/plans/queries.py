@@ -416,6 +416,14 @@ def mutual_information_knn_all(spark, folder):
     return features.mutual_information_knn(_encoded(spark, folder, "returns"), "target")
 
 
+def mutual_information_regression_knn(spark, folder):
+    """Parts' retail price and their size, brand and type, by neighbours in the plane."""
+    given = table(spark, folder, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
+    encoded = encode.encode_features(given).table.withColumn("p_partkey", F.col("p_partkey").cast("long"))
+    out = features.mutual_information_regression(encoded, "p_retailprice", row_key="p_partkey")
+    return rounded(out, mi_score=5)
+
+
 def forest_importance(spark, folder):
     """Orders above a price against all other columns, 100 trees."""
     return features.forest_importance(_encoded(spark, folder, "prices").withColumn(
@@ -768,7 +776,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         readiness_gaps, quality_penalty, readiness_recommendations, readiness_risks,
         label_encode, label_encode_many, median_impute, encode_features, target_correlation,
         high_correlation_pairs, mutual_information_binned, mutual_information_regression,
-        mutual_information_knn, mutual_information_knn_all, forest_importance,
+        mutual_information_knn, mutual_information_knn_all, mutual_information_regression_knn, forest_importance,
         forest_importance_regression, forest_best, transform_advice_numeric, transform_advice_categorical,
         model_characteristics, model_scores, model_top3, strategy,
         report_summary, report_findings, report_markdown, report_minimal, report_files,

@@ -97,6 +97,51 @@ def test_neighbour_scores_equal_brute_force(spark, rows_per_task):
         assert scores[c] == pytest.approx(brute_force_mi(frame[c].to_numpy(float), y), abs=1e-9), c
 
 
+def plane_scores(x, y, k=3):
+    """All distances in the plane between all rows, both axes scaled."""
+    x, y = (v / v.std() if v.std() else v for v in (x, y))
+    psi = lambda n: -0.5772156649015329 + sum(1 / j for j in range(1, int(n)))
+    dx, dy = np.abs(x[:, None] - x), np.abs(y[:, None] - y)
+    both = np.maximum(dx, dy)
+    np.fill_diagonal(both, np.inf)
+    k = min(k, len(x) - 1)
+    reach = np.sort(both, axis=1)[:, k - 1 : k]
+    counts = [np.where(reach > 0, d < reach, d == 0).sum(axis=1) for d in (dx, dy)]
+    return max(0.0, psi(len(x)) + psi(k) - sum(np.mean([psi(n) for n in c]) for c in counts))
+
+
+@pytest.mark.parametrize("cell_rows, rows_per_task", [(512, 1_000_000), (16, 1_000_000), (5, 40)])
+def test_plane_scores_equal_brute_force(spark, cell_rows, rows_per_task):
+    rng = np.random.default_rng(7)
+    n = 400
+    y = rng.normal(size=n)
+    far = rng.standard_cauchy(n)  # a few rows reach over very many cells
+    frame = pd.DataFrame({"target": y, "near": y + rng.normal(size=n) / 3, "copy": y * 4, "noise": rng.exponential(size=n),
+                          "far": far, "bent": np.abs(y) + rng.normal(size=n) / 9, "clump": np.where(np.arange(n) < 250, 0.0, rng.normal(size=n))})
+    found = features.mutual_information_regression(
+        spark.createDataFrame(frame).repartition(3), "target", cell_rows=cell_rows, rows_per_task=rows_per_task, jitter=0.0
+    )
+    scores = {r.feature: r.mi_score for r in found.collect()}
+    for c in frame.columns[1:]:
+        # without jitter the last bits of equal distances may differ
+        assert scores[c] == pytest.approx(plane_scores(frame[c].to_numpy(), y), abs=1e-6), c
+
+
+def test_plane_scores_of_ties_and_few_rows(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 5, 300).astype(float)
+    frame = pd.DataFrame({"target": y, "same": y, "x": rng.integers(0, 3, 300).astype(float), "one": 1.0, "key": np.arange(300)})
+    df = spark.createDataFrame(frame)
+    score = lambda parts: {r.feature: r.mi_score for r in features.mutual_information_regression(
+        df.repartition(parts), "target", cell_rows=20, row_key="key").collect()}
+    one, other = score(2), score(5)
+    assert one == pytest.approx(other, abs=1e-9) and set(one) == {"same", "x", "one"}
+    assert one["same"] > 1 and one["x"] < 0.2 and one["one"] < 0.2
+    assert features.mutual_information_regression(df.limit(3).drop("key"), "target").count() == 3
+    assert features.mutual_information_regression(df.limit(1).drop("key"), "target").count() == 0
+    assert features.mutual_information_regression(df.limit(0).drop("key"), "target").count() == 0
+
+
 def test_binned_scores(spark):
     df = spark.range(2000).selectExpr("CAST(id % 2 AS DOUBLE) AS target", "CAST(id % 2 AS DOUBLE) * 5 AS copy", "CAST(id DIV 2 AS DOUBLE) AS other")
     found = {r.feature: r.mi_score for r in features.mutual_information_binned(df, "target").collect()}
