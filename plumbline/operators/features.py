@@ -8,7 +8,6 @@ from itertools import combinations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.fields import (
@@ -36,6 +35,7 @@ from plumbline.operators.columns import (
     with_moments,
 )
 from plumbline.operators.plane import CELL_ROWS, JITTER, plane_information
+from plumbline.operators.products import blocked_correlations
 from plumbline.operators.ranks import ROWS_PER_TASK, quantiles, running_totals
 from plumbline.session import freeze
 
@@ -51,7 +51,7 @@ MANY_VALUES = 50
 ZERO_PCT = 30
 LARGE_MAX, LARGE_SPREAD = 1000, 2
 
-# Products per aggregation, and pairs beyond which the matrix form is used.
+# Products per aggregation, and pairs beyond which whole blocks are multiplied.
 PRODUCTS_PER_PASS = 60
 MATRIX_PAIRS = 600
 
@@ -78,9 +78,9 @@ def correlations(table: DataFrame, pairs: Sequence[tuple[str, str]], least: floa
     known = set(varying)
     constant = [(*p, None) for p in pairs if p not in known]
     parts = [local_table(spark, constant, "feature_a string, feature_b string, r double")]
-    # the matrix pays for itself only if most of its cells are wanted
+    # products of whole blocks pay for themselves only if most of them are wanted
     if len(varying) > max(MATRIX_PAIRS, 2 * len(used)):
-        parts.append(_correlation_matrix(numbers[""], means, varying, least))
+        parts.append(_chosen(numbers[""], varying, least))
     else:
         for start in range(0, len(varying), PRODUCTS_PER_PASS):
             parts.append(_centred_products(numbers[""], means, varying[start : start + PRODUCTS_PER_PASS]))
@@ -100,36 +100,45 @@ def _centred_products(table, means, pairs):
     return table.selectExpr(*squares, *products).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _correlation_matrix(table, means, pairs, least):
-    """All pairs from one distributed product matrix, for wide tables.
-
-    The matrix has columns x columns cells, whatever the number of rows.
-    """
+def _chosen(table, pairs, least):
+    """The named pairs out of blocked products of all their columns."""
     used = list(dict.fromkeys(c for pair in pairs for c in pair))
-    centred = table.select(*[(column(c) - F.lit(means[c])).alias(f"c{i}") for i, c in enumerate(used)])
-    vectors = VectorAssembler(inputCols=centred.columns, outputCol="v").transform(centred).select("v")
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
     at = {c: i for i, c in enumerate(used)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs if not abs(matrix[at[a], at[b]]) < least]
-    return local_table(table.sparkSession, rows, "feature_a string, feature_b string, r double")
+    shown = [(min(p, key=at.get), max(p, key=at.get), *p) for p in pairs]
+    wanted = local_table(table.sparkSession, shown, "first string, second string, feature_a string, feature_b string")
+    found = blocked_correlations(table, used, least).toDF("first", "second", "r")
+    return found.join(F.broadcast(wanted), ["first", "second"]).select("feature_a", "feature_b", "r")
 
 
 def target_correlation(table: DataFrame, target: str) -> DataFrame:
     """Pearson r of every feature with the target, 0 where it is undefined."""
     features = [c for c in table.columns if c != target]
     r = F.coalesce("r", F.lit(0.0))
-    return correlations(table, [(c, target) for c in features]).select(
-        F.col("feature_a").alias("feature"), r.alias("pearson_r"), F.abs(r).alias("abs_r")
-    ).orderBy(F.desc("abs_r"), "feature")
+    if len(features) > PRODUCTS_PER_PASS:
+        # the target stands first in its pairs
+        named = local_table(table.sparkSession, [(c,) for c in features], "feature string")
+        found = blocked_correlations(table, [target, *features], target=target)
+        found = named.join(found.select(F.col("feature_b").alias("feature"), "r"), "feature", "left")
+    else:
+        found = correlations(table, [(c, target) for c in features]).withColumnRenamed("feature_a", "feature")
+    return found.select("feature", r.alias("pearson_r"), F.abs(r).alias("abs_r")).orderBy(F.desc("abs_r"), "feature")
 
 
 def high_correlation_pairs(
     table: DataFrame, target: str | None = None, threshold: float = HIGH_CORRELATION
 ) -> DataFrame:
-    """Feature pairs, in column order, with \\|r\\| at or above the threshold."""
+    """Feature pairs, in column order, with \\|r\\| at or above the threshold.
+
+    Wide tables are multiplied in blocks, where the threshold is applied: neither
+    all pairs nor a matrix of all columns comes into being.
+    """
     features = [c for c in table.columns if c != target]
+    if len(features) * (len(features) - 1) // 2 > MATRIX_PAIRS:
+        found = blocked_correlations(table, features, threshold)
+    else:
+        found = correlations(table, list(combinations(features, 2)), threshold)
     return (
-        correlations(table, list(combinations(features, 2)), threshold)
+        found
         .where(F.abs("r") >= threshold)
         .select("feature_a", "feature_b", F.col("r").alias("correlation"))
         .orderBy(F.desc(F.abs("correlation")), "feature_a", "feature_b")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline import analyse_features
 from plumbline.functions.numbers import digamma
-from plumbline.operators import encode, features
+from plumbline.operators import encode, features, products
 
 
 def test_codes_follow_sorted_values(spark):
@@ -55,6 +55,44 @@ def test_correlation_of_constant_is_zero_and_limit_is_included(spark):
     assert len(features.high_correlation_pairs(df, "target", threshold=limit).collect()) == 1
 
 
+def test_correlated_pairs_of_very_many_columns(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    n, p = 80, 1100  # five blocks
+    x = rng.normal(size=(n, p)) + 1e6
+    x[:, 1099] = -2 * x[:, 3] + rng.normal(size=n) / 9
+    x[:, 700] = x[:, 255] + rng.normal(size=n) / 3
+    x[:, 257] = x[:, 256]
+    x[:, 11] = 5.0
+    x[:, 12] = 1e9 + 0.1
+    pd.DataFrame(x, columns=[f"c.{i}" for i in range(p)]).to_parquet(tmp_path / "wide.parquet")
+    table = spark.read.parquet(str(tmp_path / "wide.parquet"))
+    z = np.delete(x, [11, 12], axis=1)
+    r = np.corrcoef(z, rowvar=False)
+    at = np.delete(np.arange(p), [11, 12])
+    expected = {(f"c.{at[a]}", f"c.{at[b]}"): r[a, b] for a, b in zip(*np.nonzero(np.triu(np.abs(r) >= 0.6, 1)))}
+    found = {(f.feature_a, f.feature_b): f.correlation for f in features.high_correlation_pairs(table, threshold=0.6).collect()}
+    assert set(found) == set(expected) and len(found) >= 3
+    assert all(found[k] == pytest.approx(expected[k], abs=1e-6) for k in found)
+    told = features.target_correlation(table, "c.3").collect()
+    assert len(told) == p - 1 and told[0].feature == "c.1099" and told[0].pearson_r < -0.9
+    assert {t.feature for t in told if t.pearson_r == 0.0} == {"c.11", "c.12"}
+
+
+def test_blocks_of_few_columns(spark, monkeypatch):
+    monkeypatch.setattr(products, "BLOCK", 2)
+    monkeypatch.setattr(products, "PAIRS_PER_SCAN", 2)
+    df = spark.range(300).selectExpr("sin(id) AS a", "cos(id) AS b", "id % 7 AS c", "sin(id) * 2 + id % 3 AS d", "1 AS one", "id % 5 AS e")
+    found = {(p.feature_a, p.feature_b): p.r for p in products.blocked_correlations(df, df.columns).collect()}
+    kept = [c for c in df.columns if c != "one"]
+    plain = df.toPandas()[kept].corr()
+    assert set(found) == {(a, b) for i, a in enumerate(kept) for b in kept[i + 1 :]}
+    assert all(found[a, b] == pytest.approx(plain.loc[a, b], abs=1e-9) for a, b in found)
+    assert products.blocked_correlations(df.limit(0), df.columns).count() == 0
+    assert products.blocked_correlations(df, ["a", "one"]).count() == 0
+    target = products.blocked_correlations(df, df.columns, target="d").collect()
+    assert sorted((p.feature_a, p.feature_b) for p in target) == [("a", "d"), ("b", "d"), ("c", "d"), ("d", "e")]
+
+
 def test_wide_tables_use_the_matrix(spark, monkeypatch):
     df = spark.range(200).selectExpr("sin(id) AS a", "cos(id) + 1e6 AS b", "id % 7 + 1e9 AS c", "sin(id) * 2 + id % 3 AS d")
     pairs = [("a", "b"), ("a", "c"), ("a", "d"), ("b", "d")]
