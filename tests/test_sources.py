@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline import load, load_sample
 from plumbline.functions.text import file_suffix
-from plumbline.sources import excel, readers, samples
+from plumbline.sources import excel, ranges, readers, samples
 
 
 @pytest.mark.parametrize(
@@ -145,3 +145,91 @@ def test_equal_draws_still_leave_two_percent_without_total(spark, monkeypatch):
     monkeypatch.setattr(samples, "uniforms", even)
     rows = samples.churn(spark.range(1, 101).select("id")).collect()
     assert [r.customer_id for r in rows if r.total_charges is None] == ["CUST-00001", "CUST-00002"]
+
+
+def _in_pieces(spark, size):
+    """Files are split into ranges of about so many bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+def _as_usual(spark):
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _quoted(value):
+    return '"' + value.replace('"', '""') + '"'
+
+
+@pytest.mark.parametrize("size", [173, 1 << 27])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_csv_ranges_cut_the_same_records(spark, tmp_path, size, end):
+    texts = ["plain", 'say "hi", ok', "two\nlines", "\n\n", ",\n,", "", 'a "" b\n"', "x" * 150 + "\n" + "y" * 200, "ü\r\nü"]
+    rows = [(i, texts[i * 7 % len(texts)], i * 2) for i in range(120)]
+    for f in ("a", "b"):
+        body = [f"{i},{_quoted(t)},{n}" for i, t, n in rows]
+        (tmp_path / f"{f}.csv").write_bytes(end.join(["id,text,n", *body, ""]).encode())
+    try:
+        _in_pieces(spark, size)
+        df = readers.load_csv(spark, str(tmp_path))
+        got = sorted(tuple(r) for r in df.select("id", F.coalesce("text", F.lit("")), "n").collect())
+    finally:
+        _as_usual(spark)
+    assert got == sorted(rows * 2)
+
+
+def test_sound_records():
+    fine = ranges._sound(",")
+    assert all(fine(r) for r in ["", "a,b", '"a,""b"",\n",c', '"",""', 'a,"b"\r', ',"x",'])
+    assert not any(fine(r) for r in ['5" pipe,x', '"a"b,c', 'a,"b', '"a""'])
+
+
+def test_one_csv_file_feeds_many_tasks(spark, tmp_path):
+    lines = ["id,text"] + [f'{i},"a\n{i}"' if i == 500 else f"{i},t{i}" for i in range(4000)]
+    (tmp_path / "a.csv").write_text("\n".join(lines) + "\n")
+    try:
+        _in_pieces(spark, 2000)
+        df = readers.load_csv(spark, str(tmp_path / "a.csv"))
+        tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert tasks > 10 and df.count() == 4000 and df.where("id = 500").first().text == "a\n500"
+    finally:
+        _as_usual(spark)
+
+
+def test_csv_files_that_cannot_be_cut_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,text\n1,5" pipe\n2,"two\nlines"\n3,x\n')
+    (tmp_path / "b.csv").write_text('id,text\n4,"b\nb"\n')
+    (tmp_path / "c.csv").write_text('text,id\n"c\nc",5\n')
+    rows = sorted(tuple(r) for r in readers.load_csv(spark, str(tmp_path)).select("id", "text").collect())
+    assert rows == [(1, '5" pipe'), (2, "two\nlines"), (3, "x"), (4, "b\nb"), (5, "c\nc")]
+    told = readers.load_csv(spark, str(tmp_path / "b.csv"), schema="id int, text string")
+    assert told.dtypes == [("id", "int"), ("text", "string")] and told.first().text == "b\nb"
+    (tmp_path / "d.csv").write_text('id;text\n6;"d\n;d"\n')
+    assert readers.load_csv(spark, str(tmp_path / "d.csv"), sep=";").first().text == "d\n;d"
+
+
+@pytest.mark.parametrize("size", [120, 700, 1 << 27])
+@pytest.mark.parametrize("indent", [None, 2])
+def test_json_ranges_cut_the_same_records(spark, tmp_path, size, indent):
+    words = ["plain", "}, {", 'q"uo"te', "back\\slash\\", "[{]}", "", "ü}\n", '\\"}']
+    rows = [{"id": i, "text": words[i % 8], "deep": {"a": [{"b": words[(i + 3) % 8]}, {"b": "x" * (i % 90)}]}} for i in range(150)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+    (tmp_path / "b.json").write_text(" " + json.dumps(rows[:3], indent=indent) + "\n\n")
+    try:
+        _in_pieces(spark, size)
+        df = readers.load_json(spark, str(tmp_path))
+        got = sorted((r.id, r.text, r.deep.asDict(True)["a"]) for r in df.collect())
+        tasks = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        _as_usual(spark)
+    assert got == sorted((r["id"], r["text"], r["deep"]["a"]) for r in rows + rows[:3])
+    # records that lie in several ranges are put together in one task of each file
+    assert size != 700 or tasks > 5
+
+
+def test_json_arrays_that_cannot_be_cut(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"id": 1}, 7, {"id": 2}]')
+    (tmp_path / "b.json").write_text('[{"id": 3}, {"id": 4}]')
+    ids = [r.id for r in readers.load_json(spark, str(tmp_path)).collect()]
+    assert {1, 2, 3, 4} <= set(ids)
