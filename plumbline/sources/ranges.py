@@ -245,12 +245,14 @@ def json_records(spark: SparkSession, files: list[str], ranges: DataFrame) -> Da
     """(file, start, no, value, sound): the objects of files that hold one array of objects each.
 
     ``ranges`` is that of ``json_ranges``. A record is not sound if something
-    else than an object stands before it, or it is never closed.
+    else than an object stands before it, or if its file does not close the array.
     """
     states = _state_before(ranges)
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     change = F.when(F.col("quoted"), F.col("inside")).otherwise(F.col("out"))
     states = states.withColumn("depth", F.coalesce(F.sum(change).over(earlier), F.lit(0)))
+    # the bracket that ends the array, and the brace that the last piece is read as having
+    closed = states.groupBy("file").agg((F.sum(change) == -1).alias("closed"))
     states = states.select("file", "start", "quoted", "depth")
     text = pieces(spark, files, "}").join(F.broadcast(states), ["file", "start"])  # a row per range
     found = text.select("file", "start", "quoted", "depth", "value").mapInArrow(_cut_json, RECORDS)
@@ -260,4 +262,6 @@ def json_records(spark: SparkSession, files: list[str], ranges: DataFrame) -> Da
     before = F.substring_index("value", "{", 1)
     joined = F.when(F.startswith("value", F.lit("{")), F.col("value")).otherwise(F.expr("substring(value, instr(value, '{'))"))
     clean = (at > 0) & F.regexp_like(before, F.lit(r"^[ \t\r\n,\[\x{FEFF}]*$"))
-    return records.select("file", "start", "no", joined.alias("value"), (F.col("sound") & clean).alias("sound"))
+    sound = F.col("sound") & clean & F.col("closed")
+    records = records.join(F.broadcast(closed), "file")  # a row per file
+    return records.select("file", "start", "no", joined.alias("value"), sound.alias("sound"))
