@@ -153,22 +153,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ------------------------------------------------------------- pairs of sets
 
 
-def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that the bitmaps do not rule out."""
-    for batch in batches:
-        maps = [batch.column(c).to_pylist() for c in ("map_a", "map_b")]
-        lengths = np.array([[len(m) for m in side] for side in maps], np.int64).reshape(2, -1)
-        sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
-        keep = np.zeros(batch.num_rows, bool)
-        for la, lb in {tuple(x) for x in lengths.T.tolist()}:
-            rows = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
-            x, y = (
-                fold(np.frombuffer(b"".join(side[i] for i in rows), U).reshape(len(rows), -1), min(la, lb) // 8)
-                for side in maps
-            )
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            keep[rows] = apart <= most_apart(sizes[0][rows], sizes[1][rows])
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+def passing(limit=most_apart):
+    """Keep the pairs (a, b) that the bitmaps do not rule out; ``limit`` bounds the differences by the sizes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [batch.column(c).to_pylist() for c in ("map_a", "map_b")]
+            lengths = np.array([[len(m) for m in side] for side in maps], np.int64).reshape(2, -1)
+            sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
+            keep = np.zeros(batch.num_rows, bool)
+            for la, lb in {tuple(x) for x in lengths.T.tolist()}:
+                rows = np.flatnonzero((lengths[0] == la) & (lengths[1] == lb))
+                x, y = (
+                    fold(np.frombuffer(b"".join(side[i] for i in rows), U).reshape(len(rows), -1), min(la, lb) // 8)
+                    for side in maps
+                )
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                keep[rows] = apart <= limit(sizes[0][rows], sizes[1][rows])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return work
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +182,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sides(pairs: DataFrame, table: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
+def with_sides(pairs: DataFrame, table: DataFrame, names: dict[str, tuple[str, str]]) -> DataFrame:
     """Pairs (a, b) with columns of ``table`` (mark, ...) for either side."""
     for side, i in (("a", 0), ("b", 1)):
         shown = [F.col(c).alias(both[i]) for c, both in names.items()]
@@ -211,10 +215,10 @@ class Sets:
     def alike(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of marks whose sets are alike: bitmaps first, then the sorted arrays."""
         maps = self.bitmaps(_ends(pairs))
-        wide = _sides(pairs, maps, {"size": ("size_a", "size_b"), "bitmap": ("map_a", "map_b")})
-        near = stash(wide.mapInArrow(_passing, "a long, b long"), "passing")
+        wide = with_sides(pairs, maps, {"size": ("size_a", "size_b"), "bitmap": ("map_a", "map_b")})
+        near = stash(wide.mapInArrow(passing(), "a long, b long"), "passing")
         sets = self.shingles(_ends(near))
-        return stash(_sides(near, sets, {"shingles": ("x", "y")}).mapInArrow(_exact, "a long, b long"), "alike")
+        return stash(with_sides(near, sets, {"shingles": ("x", "y")}).mapInArrow(_exact, "a long, b long"), "alike")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
