@@ -95,8 +95,8 @@ def analyse_features(
 ) -> dict[str, DataFrame]:
     """All feature tables of one dataset; without the target only the advice.
 
-    Mutual information with a class target uses nearest neighbours (``mi="knn"``)
-    or bins; with a number target always bins.
+    Mutual information uses nearest neighbours, in the plane for a number target (``mi="knn"``),
+    or bins.
     """
     advice = small_table(features.transform_advice(df))
     keyed = lambda table: table.select(F.lit(dataset).alias("dataset"), "*")
