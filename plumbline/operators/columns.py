@@ -35,15 +35,25 @@ RECOUNT_LIMIT = 100
 # Columns per aggregation: few enough that the JVM compiles the generated code.
 COLUMNS_PER_PASS = 8
 
+# Month names.
+MONTHS = "January February March April May June July August September October November December".split()
+MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + ")"
+ZONE = "(?:Z|UTC|[+-][0-9]{2}:?[0-9]{2})"
+CLOCK = f"((?:[T ][0-9]{{1,2}}:[0-9]{{2}}(?::[0-9]{{2}}(?:[.][0-9]{{1,9}})?)?(?: ?{ZONE})?)?)$"
+ZONED = f"(:[0-9]{{2}}(?:[.][0-9]+)?) ?({ZONE})$"
 ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-# Other ways to write a day, as (pattern, shape); the first that all values of a column fit counts.
-DAY_FORMATS = [
-    ("M/d/yyyy", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
-    ("d/M/yyyy", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
-    ("yyyy/M/d", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"),
-    ("MMM d, yyyy", "^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+# Other ways to write a day that say which part is which, and the parts in ISO order
+# (M is the number of the month's name).
+DAY_SHAPES = [
+    (r"^([0-9]{4})([/.-])([0-9]{1,2})\2([0-9]{1,2})", "$1-$3-$4$5"),
+    ("^((?:19|20)[0-9]{2})([0-9]{2})([0-9]{2})", "$1-$2-$3$4"),
+    (f"(?i)^{MONTH}[.]? ([0-9]{{1,2}}),? ([0-9]{{4}})", "$3-M-$2$4"),
+    (f"(?i)^([0-9]{{1,2}})[- ]{MONTH}[.]?[- ]([0-9]{{4}})", "$3-M-$1$4"),
 ]
-LONGEST_DAY = 12
+# Two small numbers and a year: month or day first, as all values of the column allow, month before day.
+SMALL_FIRST = r"^([0-9]{1,2})([/.-])([0-9]{1,2})\2([0-9]{4})"
+DAY_ORDERS = {"month_first": "$4-$1-$3$5", "day_first": "$4-$3-$1$5"}
+LONGEST_DAY = 60
 
 
 # ---------------------------------------------------------------- one-pass sums
@@ -53,11 +63,13 @@ def per_column(
     datasets: Datasets,
     fields: Sequence[Field],
     measures: Callable[[Field], dict[str, str]],
+    ahead: Sequence[Callable[[Field], dict[str, str]]] = (),
 ) -> DataFrame:
     """One global aggregation per dataset, turned into one row per column.
 
     ``measures`` gives SQL aggregates by name, the same names and types for
-    every field. No shuffle but the merge of one partial row per task.
+    every field. ``ahead`` gives columns that they use, step by step, named with
+    the field's id. No shuffle but the merge of one partial row per task.
     """
     parts = []
     for name, df in datasets.items():
@@ -78,7 +90,11 @@ def per_column(
                     sums.append(f"{aggregate} AS {key}_{f.id}")
                     row.append(f"{key}_{f.id} AS {key}")
                 rows.append(f"struct({', '.join(row)})")
-            parts.append(df.selectExpr(*sums).selectExpr(f"inline(array({', '.join(rows)}))"))
+            rows_of = df
+            for step in ahead:
+                more = [f"{sql} AS {key}_{f.id}" for f in chunk for key, sql in step(f).items()]
+                rows_of = rows_of.selectExpr("*", *more) if more else rows_of
+            parts.append(rows_of.selectExpr(*sums).selectExpr(f"inline(array({', '.join(rows)}))"))
     return union_all(parts)
 
 
@@ -110,7 +126,52 @@ def size_measures(f: Field) -> dict[str, str]:
     return {"n_bytes": f"coalesce({measure}, 0L)"}
 
 
+def day_texts(f: Field) -> dict[str, str]:
+    """ISO forms of a text column's values: as their shape says, and in each order of day and month."""
+    if f.kind != "string":
+        return {}
+    x, short = f.sql, f"octet_length({f.sql}) <= {LONGEST_DAY}"  # long texts are told by their length alone
+    initials = "".join(m[:3] for m in MONTHS).lower()
+    month = f"CAST((locate(lower(regexp_extract({x}, '(?i)[a-z]{{3}}', 0)), '{initials}') + 2) DIV 3 AS STRING)"
+    shape, plain = f"WHEN {x} RLIKE '{ISO_DATE}' THEN 0", f"WHEN {x} RLIKE '{ISO_DATE}' THEN {x}"
+    for i, (day, parts) in enumerate(DAY_SHAPES, 1):
+        fits = f"WHEN {short} AND {x} RLIKE r'{day}{CLOCK}' THEN"
+        before, named, after = parts.partition("M")
+        iso = f"concat('{before}', {month}, '{after}')" if named else f"'{parts}'"
+        shape += f" {fits} {i}"
+        plain += f" {fits} regexp_replace({x}, r'{day}{CLOCK}', {iso})"
+    out = {"day_shape": f"CASE {shape} END", "day_plain": f"CASE {plain} END"}
+    for order, parts in DAY_ORDERS.items():
+        day = f"r'{SMALL_FIRST}{CLOCK}'"
+        out[f"day_{order}"] = f"CASE WHEN {short} AND {x} RLIKE {day} THEN regexp_replace({x}, {day}, '{parts}') END"
+    return out
+
+
+def day_times(f: Field) -> dict[str, str]:
+    """The times that ``day_texts`` stand for, in UTC if they name a zone; NULL if there is no such day."""
+    if f.kind != "string":
+        return {}
+    out = {}
+    for key in ("plain", *DAY_ORDERS):
+        text = f"day_{key}_{f.id}"
+        zone = f"regexp_extract({text}, '{ZONED}', 2)"
+        ahead = (
+            f"CASE WHEN length({zone}) < 5 THEN 0 ELSE 60 * CAST(substr({zone}, 1, 3) AS INT) "
+            f"+ CAST(concat(substr({zone}, 1, 1), right({zone}, 2)) AS INT) END"
+        )
+        local = f"try_cast(regexp_replace({text}, '{ZONED}', '$1') AS timestamp_ntz)"
+        out[f"time_{key}"] = (
+            f"CASE WHEN {text} RLIKE '{ZONED}' THEN timestampadd(MINUTE, -({ahead}), {local}) "
+            f"ELSE try_cast({text} AS timestamp_ntz) END"
+        )
+    return out
+
+
 def text_measures(f: Field) -> dict[str, str]:
+    """Lengths and days of a text column (after ``day_texts`` and ``day_times``).
+
+    It holds days if all its values have one shape, or one order of day and month, and all exist.
+    """
     if f.kind != "string":
         instant = f"CAST({f.sql if f.kind == 'instant' else 'NULL'} AS timestamp_ntz)"
         return {
@@ -119,11 +180,9 @@ def text_measures(f: Field) -> dict[str, str]:
             "date_min": f"CAST(min({instant}) AS STRING)",
             "date_max": f"CAST(max({instant}) AS STRING)",
         }
-    read = [f"CASE WHEN {f.sql} RLIKE '{ISO_DATE}' THEN try_cast({f.sql} AS timestamp_ntz) END"]
-    for pattern, shape in DAY_FORMATS:  # long texts are told by their length alone
-        fits = f"octet_length({f.sql}) <= {LONGEST_DAY} AND {f.sql} RLIKE '{shape}'"
-        read.append(f"CASE WHEN {fits} THEN CAST(try_to_timestamp({f.sql}, '{pattern}') AS timestamp_ntz) END")
+    read = [f"time_{key}_{f.id}" for key in ("plain", *DAY_ORDERS)]
     every = [f"count({f.sql}) > 0 AND count({r}) = count({f.sql})" for r in read]
+    every[0] += f" AND min(day_shape_{f.id}) = max(day_shape_{f.id})"
 
     def of_first(aggregate: str) -> str:
         whens = " ".join(f"WHEN {e} THEN {aggregate}({r})" for e, r in zip(every, read))
@@ -148,6 +207,7 @@ def column_sums(datasets: Datasets, fields: Sequence[Field] | None = None) -> Da
             **size_measures(f),
             **text_measures(f),
         },
+        ahead=(day_texts, day_times),
     )
 
 

@@ -33,6 +33,7 @@ FIELDS = {
     "l_linestatus s, l_shipdate day",
     "lineitem_flags": "l_returnflag s, l_linestatus s",
     "orders_text_dates": "o_orderkey l, o_orderdate s, o_day_first s, o_month_name s, o_comment s, o_orderpriority s",
+    "orders_written_dates": "o_month_between s, o_compact s, o_dotted s, o_zoned s, o_code s, o_no_day s",
     "documents_text": "text s",
     "events_infinite": "event_id l, value d",
     "returns": "target i, l_quantity d, l_extendedprice d, l_discount d, l_tax d, l_linenumber i, net_price d, "
@@ -46,6 +47,8 @@ DTYPES = {"i": "int", "l": "bigint", "d": "double", "s": "string", "t": "timesta
 DAYS = [
     ("%m/%d/%Y", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), ("%d/%m/%Y", "^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"),
     ("%Y/%m/%d", "^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$"), ("%b %d, %Y", "^[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}$"),
+    ("%d-%b-%Y", "^[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}$"), ("%Y%m%d", "^(19|20)[0-9]{6}$"),
+    ("%m.%d.%Y", "^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$"), ("%d.%m.%Y", "^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$"),
 ]
 WIDTHS = {"i": 4, "l": 8, "d": 8, "t": 8, "day": 4}
 
@@ -109,7 +112,10 @@ def _facts(name, position, c, t):
     if t in "ts" or t == "day":
         unique = "count(DISTINCT x) AS n_unique"
         if t == "s":
-            stamps = ["CASE WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS TIMESTAMP) END"]
+            # a time with an offset is an instant, given in UTC
+            stamps = ["CASE WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}.*:[0-9]{2}[+-][0-9]{2}:[0-9]{2}$') THEN "
+                      "make_timestamp(epoch_us(TRY_CAST(x AS TIMESTAMPTZ))) "
+                      "WHEN regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(x AS TIMESTAMP) END"]
             stamps += [f"CASE WHEN regexp_matches(x, {quote(shape)}) THEN try_strptime(x, {quote(fmt)}) END" for fmt, shape in DAYS]
             fits = [f"(count(x) > 0 AND count({s}) = count(x))" for s in stamps]
             first = lambda f: f"CAST(CASE {' '.join(f'WHEN {a} THEN {f}({s})' for a, s in zip(fits, stamps))} ELSE {f}({stamps[0]}) END AS VARCHAR)"
@@ -814,6 +820,9 @@ ORACLES = {
     "column_mode": both(LISTED, f'SELECT dataset, "column", value AS mode FROM ({LISTS}) WHERE rank = 1'),
     "date_range": f"""WITH facts AS ({column_facts(['orders', 'events_holes', 'lineitem_holes', 'orders_text_dates'],
         lambda c, t: c in ('o_orderdate', 'o_day_first', 'o_month_name', 'ts', 'l_shipdate'))}) SELECT dataset, "column", date_min, date_max FROM facts""",
+    "date_spellings": f"""WITH facts AS ({column_facts(['orders_written_dates', 'orders_text_dates'], lambda c, t: t == 's')})
+        SELECT dataset, "column", date_like, CASE WHEN date_like THEN date_min END AS date_min,
+        CASE WHEN date_like THEN date_max END AS date_max FROM facts""",
     "column_profile": f"""{profile_ctes(['orders', 'events_holes', 'labels'])},
         tops AS ({top_lists(['orders', 'events_holes', 'labels'])})
         SELECT p.dataset, p.position, p."column", dtype, inferred_type, n_total, n_null, null_pct, n_unique, unique_ratio,

@@ -45,6 +45,19 @@ DERIVED = {
         "CAST(day(o_orderdate) AS VARCHAR(2)), ', ', CAST(year(o_orderdate) AS VARCHAR(4))) AS o_month_name, "
         "CAST(NULL AS VARCHAR(10)) AS o_comment, o_orderpriority FROM orders"
     ),
+    "orders_written_dates": (
+        "SELECT concat(CAST(day(o_orderdate) AS VARCHAR(2)), '-', "
+        "substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * month(o_orderdate) - 2 AS INT), 3), '-', "
+        "CAST(year(o_orderdate) AS VARCHAR(4))) AS o_month_between, "
+        "concat(CAST(year(o_orderdate) AS VARCHAR(4)), lpad(CAST(month(o_orderdate) AS VARCHAR(2)), 2, '0'), "
+        "lpad(CAST(day(o_orderdate) AS VARCHAR(2)), 2, '0')) AS o_compact, "
+        "concat(CAST(day(o_orderdate) AS VARCHAR(2)), '.', CAST(month(o_orderdate) AS VARCHAR(2)), '.', "
+        "CAST(year(o_orderdate) AS VARCHAR(4))) AS o_dotted, "
+        "concat(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 'T10:30:00', "
+        "CASE WHEN o_orderkey % 2 = 0 THEN '+05:30' ELSE '-08:00' END) AS o_zoned, "
+        "lpad(CAST(o_orderkey AS VARCHAR(8)), 8, '0') AS o_code, "
+        "concat('31.', CAST(month(o_orderdate) AS VARCHAR(2)), '.2024') AS o_no_day FROM orders"
+    ),
     "documents_text": "SELECT text FROM documents",
     "events_infinite": (
         "SELECT event_id, value, CASE WHEN event_type = 'error' THEN CAST('Infinity' AS DOUBLE) ELSE value END AS spoilt FROM events"
@@ -199,6 +212,14 @@ def date_range(spark, folder):
     return cols.column_sums(given, fields).select("dataset", "column", "date_min", "date_max")
 
 
+def date_spellings(spark, folder):
+    """Days in other spellings, times with zones, and texts that only look like days."""
+    given = clean(tables(spark, folder, ["orders_written_dates", "orders_text_dates"]))
+    found = cols.column_sums(given, [f for f in fields_of(given) if f.kind == "string"])
+    days = [F.when(F.col("date_like"), F.col(c)).alias(c) for c in ("date_min", "date_max")]
+    return found.select("dataset", "column", "date_like", *days)
+
+
 def column_profile(spark, folder):
     """All blocks of the profile, as the inferred type allows them."""
     profile = cols.column_profile(tables(spark, folder, ["orders", "events_holes", "labels"]))
@@ -769,7 +790,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         profile_nulls, profile_distinct, profile_distinct_approx, profile_types, profile_numeric,
-        profile_infinite, profile_quartiles, outliers_iqr, top_values, column_mode, date_range, column_profile,
+        profile_infinite, profile_quartiles, outliers_iqr, top_values, column_mode, date_range, date_spellings, column_profile,
         dataset_summary, duplicate_rows, profile_warnings, type_distribution, schema_coverage,
         coverage_summary, source_profiles, source_relationships,
         readiness_match, readiness_custom, readiness_tiers, readiness_score, readiness_bar,

@@ -192,6 +192,21 @@ def test_top_values_are_cut_before_the_shuffle(spark):
         (["2024/3/15"], "2024-03-15 00:00:00", "2024-03-15 00:00:00"),
         (["15/03/2024", "Dec 1, 2023"], None, None),
         (["31/02/2024"], None, None),
+        (["15-Mar-2024", "1-dec-2023"], "2023-12-01 00:00:00", "2024-03-15 00:00:00"),
+        (["March 15, 2024", "Dec 1 2023", "May 2, 2024"], "2023-12-01 00:00:00", "2024-05-02 00:00:00"),
+        (["20240315", "20231201"], "2023-12-01 00:00:00", "2024-03-15 00:00:00"),
+        (["20240315", "20231301"], None, None),
+        (["00000315"], None, None),
+        (["15.03.2024", "1-12-2023"], "2023-12-01 00:00:00", "2024-03-15 00:00:00"),
+        (["3/1.2024"], None, None),
+        (["2024-03-15T10:00:00Z", "2024-03-15 10:00:00+02:00"], "2024-03-15 08:00:00", "2024-03-15 10:00:00"),
+        (["2024-03-15T10:00-0530", "2024-03-15"], "2024-03-15 00:00:00", "2024-03-15 15:30:00"),
+        (["15/03/2024 10:30:15.5", "1/12/2023 0:05"], "2023-12-01 00:05:00", "2024-03-15 10:30:15.5"),
+        (["15/03/2024 25:00"], None, None),
+        (["2024-03-15", "20240316"], None, None),
+        (["Mayor 5, 2024"], None, None),
+        (["", "2024-03-15"], None, None),
+        (["2024-03-15" * 50], None, None),
         ([None, None], None, None),
     ],
 )

@@ -11,7 +11,7 @@ from compare import differences, second_engine
 FOLDER = "/root/testdata/sf0.001"
 QUICK = [
     "profile_distinct", "profile_types", "profile_numeric", "profile_quartiles", "outliers_iqr", "top_values",
-    "date_range", "column_profile", "duplicate_rows", "profile_warnings", "coverage_summary",
+    "date_range", "date_spellings", "column_profile", "duplicate_rows", "profile_warnings", "coverage_summary",
     "source_relationships", "readiness_tiers", "quality_penalty", "encode_features", "target_correlation",
     "mutual_information_binned", "mutual_information_knn", "response_extract", "scan_csv_missing",
     "scan_json_array", "scan_roundtrip_xlsx", "sample_churn", "sample_fraud", "sample_sales",
