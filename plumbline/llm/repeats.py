@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from plumbline.llm.tables import keyed, record_batch, same_row, stash, text_bytes
+from plumbline.llm.tables import discard, keyed, record_batch, same_row, stash, text_bytes
 
 # An anchor with more different chunks than this is settled by window hashes.
 SORTED_CHUNKS = 2_000
@@ -103,6 +103,7 @@ def find_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, wi
 
     shared_keys = found.groupBy("key").count().where("count > 1").select("key")
     shared = stash(found.join(shared_keys, "key", "left_semi"), "shared")
+    discard(found)
     # Equal content: the whole chunk repeats. One place is kept to stand for it.
     kinds = stash(
         shared.groupBy("key", "content").agg(
@@ -128,6 +129,7 @@ def find_repeats(docs: DataFrame, method: Method, id_col: str, text_col: str, wi
 
     marked = rows.join(marks, same_row(rows, marks), "left").select(rows["*"], "marks")
     first = stash(marked.mapInArrow(_first_look(method, id_type, with_text), _look_schema(id_type)), "looked")
+    discard(shared, kinds)
     done = first.where(F.col("kind") == DONE)
     pending = first.where(F.col("kind") == PENDING).select("id", "th", "text", "known")
     windows = first.where(F.col("kind") == WINDOW).select("id", "th", "key", "second", "place")

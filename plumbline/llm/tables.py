@@ -33,7 +33,17 @@ def stash(df: DataFrame, purpose: str, *parts: str) -> DataFrame:
         spark.conf.set(_BATCH_LIMIT, before)
     # shuffle files of finished steps go when the driver's JVM finds their plans unused
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stashed_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables whose readers are all written themselves, so that nothing asks for them again."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table.stashed_at)
+        path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(text: str = "text") -> Column:

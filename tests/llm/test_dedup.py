@@ -161,3 +161,11 @@ def test_empty_tables(spark):
     assert dedup_lines(none).count() == 0
     assert near_duplicates(none).count() == 0
     assert keep_one(none).columns == none.columns
+
+
+def test_finished_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("plumbline.llm.tables.run_folder", lambda _, purpose: f"{tmp_path}/{purpose}")
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x b c d e y"), (3, None)], "doc_id long, text string")
+    found = dedup_passages(docs, window=3)
+    assert sorted((r.id, r.n_removed) for r in found.collect()) == [(1, 4), (2, 4), (3, 0)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["late", "looked"]
