@@ -1,6 +1,7 @@
 """Encoding, correlation, mutual information, forests, advice."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline import analyse_features
 from plumbline.functions.numbers import digamma
 from plumbline.operators import encode, features, products
+from plumbline.session import shared_folder
 
 
 def test_codes_follow_sorted_values(spark):
@@ -247,3 +249,19 @@ def test_infinite_value_spoils_one_column_only(spark):
     df = spark.range(30).selectExpr("IF(id = 3, double('Infinity'), double(id)) AS x", "double(id) AS y")
     rows = {r.column: r for r in profile({"d": df})["column_profile"].collect()}
     assert rows["x"]["std"] is None and abs(rows["y"]["std"] - 8.8034) < 1e-3
+
+
+def shared_bytes(spark):
+    return sum(p.stat().st_size for p in Path(shared_folder(spark)).rglob("*") if p.is_file())
+
+
+def test_neighbour_scores_leave_no_tables_behind(spark):
+    """A feature is sorted, counted and deleted: disk does not grow with the number of features."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    frame = pd.DataFrame({"target": rng.integers(0, 2, n).astype(float), **{f"f{i}": rng.normal(size=n) for i in range(4)}})
+    df = spark.createDataFrame(frame)
+    before = shared_bytes(spark)
+    found = features.mutual_information_knn(df, "target")
+    assert found.count() == 4
+    assert shared_bytes(spark) - before < 200_000
