@@ -265,3 +265,14 @@ def test_neighbour_scores_leave_no_tables_behind(spark):
     found = features.mutual_information_knn(df, "target")
     assert found.count() == 4
     assert shared_bytes(spark) - before < 200_000
+
+
+def test_a_forest_is_fitted_on_parts_of_bounded_size(spark, monkeypatch):
+    """However few files a table has, a task's share of the rows does not grow with it."""
+    seen = []
+    fit = features.RandomForestClassifier.fit
+    monkeypatch.setattr(features.RandomForestClassifier, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), fit(self, df))[1])
+    monkeypatch.setattr(features, "FOREST_CELLS", 2_000, raising=False)
+    df = spark.range(1000).repartition(1).select((F.col("id") % 2).cast("double").alias("target"), F.col("id").cast("double").alias("a"))
+    found = features.forest_importance(df, "target", trees=3).collect()
+    assert seen == [10] and [r.feature for r in found] == ["a"]
