@@ -1,5 +1,7 @@
 """The pipeline against a plain version of each stage, on the smallest given tables."""
 
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -73,3 +75,16 @@ def test_mix(steps):
 def test_run_gives_the_last_stage(steps, spark):
     got = corpus_pipeline.run(spark, FOLDER).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, steps["mix"][1]))
+
+
+def test_near_duplicates_links_by_fingerprints_and_by_sets(spark):
+    """Copies within 3 bits go though their sets are alike by less than 0.8, and copies of like sets beyond 3 bits."""
+    draw = random.Random(819)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+    text, near = " ".join(words), " ".join("x" if i % 19 == 5 else w for i, w in enumerate(words))
+    assert (fx.fingerprint(text) ^ fx.fingerprint(near)).bit_count() <= 3
+    ends = (f"{text} y{i} z{i}" for i in range(100))
+    far = next(t for t in ends if (fx.fingerprint(text) ^ fx.fingerprint(t)).bit_count() > 3)
+    for other in (near, far):
+        docs = spark.createDataFrame([(1, text), (2, other), (3, "quite another text")], "doc_id long, text string")
+        assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()} == {1, 3}
