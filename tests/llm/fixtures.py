@@ -119,3 +119,20 @@ def license_words(text):
 
 def order(rows):
     return sorted(rows, key=repr)
+
+
+def least_reachable(links):
+    """The least node that each node of the links reaches, step by step."""
+    near = {}
+    for a, b in links:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    out = {}
+    for node in sorted(near):
+        open_ = [] if node in out else [node]
+        while open_:
+            x = open_.pop()
+            if x not in out:
+                out[x] = node
+                open_ += near[x]
+    return out

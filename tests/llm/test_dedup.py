@@ -1,15 +1,18 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import components
+from plumbline.llm.components import _join, components
 from plumbline.llm.line_runs import LineRuns, dedup_lines
 from plumbline.llm.recompression import dedup_passages
 from plumbline.llm.repeats import find_repeats
 from plumbline.llm.simhash import keep_one, mark_links, near_duplicates
 from plumbline.llm.suffix_dedup import SuffixMethod, blind_trie_order, dedup_substrings, suffix_order
+from plumbline.session import shared_folder
 from tests.llm import fixtures as fx
 
 
@@ -154,6 +157,41 @@ def test_components_of_chains_and_stars(spark):
     assert got == want
 
 
+def test_components_settle_in_few_tables(spark):
+    links = [(i, i + 1) for i in range(300)]
+    before = set(Path(shared_folder(spark)).glob("plumbline-links-*"))
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long").coalesce(1)).collect()}
+    assert got == {i: 0 for i in range(301)}
+    assert len(set(Path(shared_folder(spark)).glob("plumbline-links-*")) - before) == 2
+
+
+def test_components_across_partitions(spark):
+    draw = random.Random(5)
+    links = [(draw.randrange(900), draw.randrange(900)) for _ in range(500)] + [(None, 3), (3, None)]
+    links += [(1000, 1000 + draw.randrange(1, 400)) for _ in range(600)]
+    want = fx.least_reachable([x for x in links if None not in x and x[0] != x[1]])
+    many = spark.createDataFrame(links, "a long, b long").repartition(40)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "256m")  # a task reads one file
+    try:
+        got = components(many).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert len(got) == len(want)
+    assert {r.node: r.root for r in got} == want
+
+
+def test_tasks_join_bounded_numbers_of_links(monkeypatch):
+    monkeypatch.setattr("plumbline.llm.components.HELD", 8)
+    links = [(i + 1, i) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
+    made = list(_join(iter([batch, batch])))
+    assert max(m.num_rows for m in made) < 8
+    pairs = [(r["a"], r["b"]) for m in made for r in m.to_pylist()]
+    assert all(a > b for a, b in pairs) and fx.least_reachable(pairs) == {i: 0 for i in range(41)}
+    assert list(_join(iter([]))) == []
+
+
 def test_empty_tables(spark):
     none = fx.no_docs(spark)
     assert dedup_substrings(none).count() == 0
