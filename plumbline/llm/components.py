@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.llm.tables import record_batch, stash
+from plumbline.llm.tables import record_batch, stash, trimmed
 
 # Nodes that a task holds at a time while it joins its links.
 HELD = 1 << 16
@@ -39,6 +39,7 @@ def _joined(links: DataFrame) -> DataFrame:
     return links.mapInArrow(_join, links.schema)
 
 
+@trimmed
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parent: dict = {}
 

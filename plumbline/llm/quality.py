@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm.hashing import U, mix, words_of_rows
-from plumbline.llm.tables import text_bytes, whole_text
+from plumbline.llm.tables import small_batches, text_bytes, trimmed, whole_text
 
 BITS = 18
 # Labelled rows per class the model is fitted on: those with the least id hash.
@@ -182,13 +182,15 @@ def train(
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     # at most 2 * SAMPLE_PER_CLASS ids
     rows = texts.join(F.broadcast(sample), "id").mapInArrow(_indicator_rows, "y int, draw long, features binary")
-    made = rows.repartition(1).mapInArrow(_fit_task(prior), "model binary").first()
+    with small_batches(docs.sparkSession):
+        made = rows.repartition(1).mapInArrow(_fit_task(prior), "model binary").first()
     return pickle.loads(made["model"]) if made else fit([], np.zeros(0, bool), prior)
 
 
 def _fit_task(prior: float):
     """Fit on the bounded sample in one task; only the model goes to the driver."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("draw", "features", "y")))]
         rows.sort()
@@ -199,6 +201,7 @@ def _fit_task(prior: float):
     return work
 
 
+@trimmed
 def _indicator_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = text_bytes(batch.column("text"))
@@ -213,9 +216,11 @@ def scorer(spark: SparkSession, model: Model):
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    @trimmed
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known = sent.value
-        return pd.Series([known.score(indicators(t.encode())) for t in texts], dtype="float64")
+        for texts in batches:
+            yield pd.Series([known.score(indicators(t.encode())) for t in texts], dtype="float64")
 
     return score
 

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.llm.components import components
 from plumbline.llm.hashing import U, mix, words_of_rows
-from plumbline.llm.tables import keyed, record_batch, stash, text_bytes
+from plumbline.llm.tables import keyed, record_batch, stash, text_bytes, trimmed
 
 WIDTH = 3
 # Least similarity, as a fraction of whole numbers: no rounding decides.
@@ -156,6 +156,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def passing(limit=most_apart):
     """Keep the pairs (a, b) that the bitmaps do not rule out; ``limit`` bounds the differences by the sizes."""
 
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             maps = [batch.column(c).to_pylist() for c in ("map_a", "map_b")]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.tables import carried, keyed, same_row, stash, unpacked
+from plumbline.llm.tables import carried, keyed, same_row, stash, trimmed, unpacked
 
 SHINGLE = 3
 RADIUS = 3
@@ -53,9 +53,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _marker(shingle: int):
     @F.pandas_udf("long")
-    def mark(texts: pd.Series) -> pd.Series:
-        made = np.array([fingerprint(t.encode(), shingle) for t in texts], np.uint64)
-        return pd.Series(made.view(np.int64))
+    @trimmed
+    def mark(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            made = np.array([fingerprint(t.encode(), shingle) for t in texts], np.uint64)
+            yield pd.Series(made.view(np.int64))
 
     return mark
 
@@ -132,6 +134,7 @@ def mark_links(marks: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
 _BLOCK = "tile string, marks binary, low array<int>, high array<int>, low_total int, high_total int"
 
 
+@trimmed
 def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -143,6 +146,7 @@ def _with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(tile: int):
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.int64)
 
@@ -168,6 +172,7 @@ def _blocks(tile: int):
 
 
 def _compare(radius: int):
+    @trimmed
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
