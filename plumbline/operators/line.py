@@ -105,12 +105,16 @@ def _ends(places: Places, feature: int, run: int, x: np.ndarray, far: np.ndarray
     """How often each count occurs, and what has to be asked of other runs for the rest.
 
     Ends are open, unless nothing is closer than an equal row. An end at the neighbour
-    takes the neighbour's own value, so that rounding cannot move it across.
+    takes the neighbour's own value, so that rounding cannot move it across. The other
+    end may round to the row's own value, as below a power of two, where numbers lie
+    closer than above; an open reach holds the row itself all the same.
     """
     tied = far == 0
     on_end = np.abs(at - x) == far
     low = np.where(on_end & (at < x), at, x - far)
     high = np.where(on_end & (at > x), at, x + far)
+    low = np.where(tied, low, np.minimum(low, np.nextafter(x, -np.inf)))
+    high = np.where(tied, high, np.maximum(high, np.nextafter(x, np.inf)))
     mine = places.at[run]
     left, ask_left = places.position(x, mine, low, ~tied)
     right, ask_right = places.position(x, mine, high, tied)

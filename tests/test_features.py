@@ -138,6 +138,25 @@ def test_neighbour_scores_equal_brute_force(spark, rows_per_task):
         assert scores[c] == pytest.approx(brute_force_mi(frame[c].to_numpy(float), y), abs=1e-9), c
 
 
+@pytest.mark.parametrize("rows_per_task", [1_000_000, 4])
+def test_a_reach_below_a_power_of_two_holds_the_row_itself(spark, rows_per_task):
+    """The neighbour lies half a step below 1.0: as far above it, rounding gives 1.0 again."""
+    below = math.nextafter(1.0, 0.0)
+    x = np.array([1.0, 1.0, below, below, below, -1.0, -below, -below, -below, 1.0, 7.0, 8.0, 9.0])
+    y = np.array([0] * 9 + [1] * 4)
+    frame = pd.DataFrame({"target": y.astype(float), "x": x})
+    found = features.mutual_information_knn(spark.createDataFrame(frame), "target", rows_per_task=rows_per_task, jitter=0.0)
+    assert [r.mi_score for r in found.collect()] == pytest.approx([brute_force_mi(x, y)], abs=1e-9)
+
+
+def test_closer_rows_along_an_axis_hold_the_row_itself(spark):
+    below = math.nextafter(1.0, 0.0)
+    rows = [(0, 1, 1.0, 1.0 - below, below), (0, 2, 1.0, 0.0, 1.0), (0, 3, below, below - 0.5, 0.5), (0, 4, 0.5, 1e-20, 4.0)]
+    df = spark.createDataFrame(rows, "feature int, row long, x double, far double, ax double")
+    found = plane.closer_along(df, "x", "ax", 4).collect()
+    assert {r.row: r.m for r in found} == {1: 2, 2: 2, 3: 3, 4: 1}
+
+
 def plane_scores(x, y, k=3):
     """All distances in the plane between all rows, both axes scaled."""
     x, y = (v / v.std() if v.std() else v for v in (x, y))
