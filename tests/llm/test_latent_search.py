@@ -3,8 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from plumbline.llm.decontaminate import STRIDE, Space, cut_items, find_leaks, plain_words, spaces
+from plumbline.llm import decontaminate
+from plumbline.llm.decontaminate import PASSAGE, STRIDE, Space, cut_items, find_leaks, plain_words, spaces
 
 
 def _tables(spark):
@@ -66,3 +69,51 @@ def test_no_documents_or_only_unknown_words(spark):
     _, _, _, items = _tables(spark)
     none = spark.createDataFrame([(1, None), (2, ""), (3, "zz yy xx vv uu tt ss")], "doc_id long, text string")
     assert find_leaks(none, items).count() == 0 and find_leaks(none.limit(0), items).count() == 0
+
+
+class Sent:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_directions_are_fitted_on_every_passage_of_every_document(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(24))
+    texts = [(i, f"w{i % 24} filler {'x ' * (i % 5)}w{i % 7}") for i in range(4500)]
+    texts += [(4500, " ".join(f"w{i // PASSAGE % 24}" for i in range(100 * PASSAGE + 5))), (4501, "x y z"), (4502, None), (4503, "W1 w1")]
+    taken = []
+
+    def spy(passages, weight, directions=decontaminate.DIRECTIONS):
+        for r in passages.collect():
+            parts = np.split(terms := np.frombuffer(r.terms, np.int32), np.flatnonzero(terms < 0) + 1)
+            taken.extend(tuple(sorted(p[p >= 0].tolist())) for p in parts if (p >= 0).any())
+        return np.eye(len(weight))
+
+    monkeypatch.setattr(decontaminate, "latent_directions", spy)
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    (_, sent), *_ = spaces(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    number = {f"w{i}": n for i, n in enumerate(sent.value.numbers(plain_words(np.array([0, len(item)]), np.frombuffer(item.encode(), np.uint8))[0]).tolist())}
+    want = [tuple(sorted(number.values()))]
+    for _, text in texts:
+        words = (text or "").lower().split()
+        cut = [[number[w] for w in words[i : i + PASSAGE] if w in number] for i in range(0, len(words), PASSAGE)]
+        want += [tuple(sorted(p)) for p in cut if p]
+    assert sorted(taken) == sorted(want)
+
+
+@pytest.mark.parametrize("cells", [1 << 24, 700])
+def test_bands_of_products_add_up(monkeypatch, cells):
+    monkeypatch.setattr(decontaminate, "BAND_CELLS", cells)
+    monkeypatch.setattr(decontaminate, "HELD_TERMS", 60)
+    draw = np.random.default_rng(4)
+    passages = [draw.integers(0, 50, draw.integers(1, 25)).astype(np.int32) for _ in range(40)]
+    weight, z, times = draw.random(50) + 0.5, draw.standard_normal((50, 6)), draw.random(8)
+    a = np.zeros((40, 50))
+    for i, t in enumerate(passages):
+        np.add.at(a[i], t, weight[t])
+        a[i] *= np.sqrt(times[i // 5] / (weight[t] ** 2).sum())
+    rows = [b"".join(np.append(t, -1).astype(np.int32).tobytes() for t in passages[i : i + 5]) for i in range(0, 40, 5)]
+    rows[3] = rows[3][:-4]  # the last -1 of a row may be missing
+    batches = [pa.record_batch([pa.array(rows[i : i + 3], pa.binary()), pa.array(times[i : i + 3])], ["terms", "times"]) for i in (0, 3, 6)]
+    (found,) = decontaminate._normal_product(Sent(z), Sent(weight))(iter([batches[0][:0], *batches]))
+    got = np.concatenate([np.frombuffer(p, np.float32).reshape(-1, 6) for p in found.column("part").to_pylist()])
+    assert np.allclose(got, a.T @ (a @ z), atol=1e-4)
